@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import line_dedup, mixing, near_dedup, packing
+from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing
 
 #: Weights of the Efraimidis-Spirakis keys for documents labelled good and bad.
 GOOD, BAD = 2.0, 0.5
@@ -48,6 +48,10 @@ def op6_shared_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return media.media_digests(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
