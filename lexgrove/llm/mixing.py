@@ -126,3 +126,10 @@ def mixed(
     whole = placed.where(~F.coalesce(in_end, F.lit(False))).withColumn("_in", F.coalesce(F.col("_slot") < F.col("_end"), F.col("_left") >= F.col("source_size")))
     both = whole.unionByName(tail).withColumn("taken", F.col("size") * (F.col("_epochs") + F.col("_in").cast("long")))
     return both.select(*[c for c in docs.columns if c not in ("source_size", "target", "taken")], "source_size", "target", "taken", (F.col("_epochs") + F.col("_in").cast("long")).alias("_copies"))
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:  # noqa: ANN003
+    """The mix itself: docs, all columns, each row as often as it is taken."""
+    columns = docs.columns
+    rows = mix(docs, **parameters).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return rows.select(*columns)

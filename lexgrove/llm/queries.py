@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing
+from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing, toxicity
 
 #: Weights of the Efraimidis-Spirakis keys for documents labelled good and bad.
 GOOD, BAD = 2.0, 0.5
@@ -44,6 +44,10 @@ def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_shared_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"))
 

@@ -49,13 +49,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose key may be among ids, by a bitmap of BITMAP_WORDS * 64 hashed bits.
-
-    No row whose key is in ids is lost; some others stay, so an exact join has to follow.
-    The bitmap has BITMAP_WORDS rows at most whatever the size of ids, so it is broadcast.
-    Null keys match nothing.
-    """
+def _probed(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     bit = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(BITMAP_WORDS * 64))
     bitmap = (
         ids.where(F.col(id_col).isNotNull())
@@ -64,11 +58,24 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFram
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_bits"))
     )
     probe = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(BITMAP_WORDS * 64))
-    return (
-        rows.where(F.col(key).isNotNull())
-        .withColumn("_probe", probe)
-        .withColumn("_word", F.shiftright("_probe", 6))
-        .join(F.broadcast(bitmap), "_word")
-        .where(F.expr("getbit(_bits, cast(_probe & 63 as int)) = 1"))
-        .drop("_probe", "_word", "_bits")
-    )
+    joined = rows.withColumn("_probe", probe).withColumn("_word", F.shiftright("_probe", 6)).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.col(key).isNotNull() & F.expr("coalesce(getbit(_bits, cast(_probe & 63 as int)), 0) = 1")
+    return joined.withColumn("_hit", hit).drop("_probe", "_word", "_bits")
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose key may be among ids, by a bitmap of BITMAP_WORDS * 64 hashed bits.
+
+    No row whose key is in ids is lost; some others stay, so an exact join has to follow.
+    The bitmap has BITMAP_WORDS rows at most whatever the size of ids, so it is broadcast.
+    Null keys match nothing.
+    """
+    return _probed(rows, key, ids, id_col).where("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose key is not in ids, null keys too; only those that the bitmap hits are shuffled."""
+    probed = _probed(rows, key, ids, id_col)
+    rest = probed.where("_hit").drop("_hit")
+    gone = ids.select(F.col(id_col).alias("_gone"))
+    return probed.where("not _hit").drop("_hit").unionByName(rest.join(gone, rest[key] == gone["_gone"], "left_anti"))
