@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing, toxicity
+from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing, toxicity, warc
+from lexgrove.llm.scratch import shared_folder
 
 #: Weights of the Efraimidis-Spirakis keys for documents labelled good and bad.
 GOOD, BAD = 2.0, 0.5
@@ -56,9 +58,15 @@ def op7_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_digests(table(spark, folder, "documents"))
 
 
+def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shared_lines": line_dedup.ORACLE}
+    return {"op6_shared_lines": line_dedup.ORACLE, "op9_warc_archives": warc.ORACLE}
