@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing, toxicity, warc
+from lexgrove.llm import chat, line_dedup, media, mixing, near_dedup, neighbours, packing, toxicity, warc
 from lexgrove.llm.scratch import shared_folder
 
 #: Weights of the Efraimidis-Spirakis keys for documents labelled good and bad.
@@ -42,6 +42,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(weighted, quality="quality").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
@@ -64,6 +68,10 @@ def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_chat_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.roles(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
