@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import chat, line_dedup, media, mixing, near_dedup, neighbours, packing, toxicity, warc
+from lexgrove.llm import chat, line_dedup, media, mixing, near_dedup, neighbours, packing, quality, toxicity, warc
 from lexgrove.llm.scratch import shared_folder
 
 #: Weights of the Efraimidis-Spirakis keys for documents labelled good and bad.
@@ -62,6 +62,10 @@ def op7_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_digests(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, folder, "pages"), archives)
