@@ -13,10 +13,11 @@
 4. Each member's best pair is confirmed on both full sets, and components are formed by
    pointer jumping and contraction.
 5. Rest: in buckets that still hold several components, every pair of members of different
-   components is compared by sketch, the members outside the largest component against all,
-   in blocks; those, and the candidates not yet confirmed that would join two components,
-   are confirmed on full sets, and components are formed anew. So no pair that shares a
-   bucket is lost, and pairs within a component are not looked at.
+   components is compared, the members outside the largest component against all, in blocks,
+   each pair in the first bucket that it shares: by its sketch, and then by a finer one of
+   FINE registers. Pairs still near enough, and the candidates not yet confirmed that would
+   join two components, are confirmed on full sets, and components are formed anew. So no
+   pair that shares a bucket is lost, and pairs within a component are not looked at.
 
 Defined results: a document without words (or a null text) has an empty set, is linked with
 nothing and kept. A null doc_id is linked with nothing; its component is null and it is
@@ -43,18 +44,21 @@ BANDS = 25
 ROWS = 5
 #: Estimates this far below the threshold are not verified: five standard errors at 0.85.
 MARGIN = 0.16
+#: Registers and margin (over four standard errors) of the finer sketches.
+FINE = 1024
+FINE_MARGIN = 0.047
 BLOCK = 512
 
 _rng = np.random.default_rng(1618)
-_MULTIPLY = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) << U(1) | U(1)
-_ADD = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 2**63, FINE, dtype=np.uint64) << U(1) | U(1)
+_ADD = _rng.integers(1, 2**63, FINE, dtype=np.uint64)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
+def registers(sets: list[np.ndarray], number: int = REGISTERS) -> np.ndarray:
     """SetSketch registers, one row of uint16 for each non-empty set of 64-bit hashes."""
     if not sets:
-        return np.zeros((0, REGISTERS), np.uint16)
-    out = np.empty((len(sets), REGISTERS), np.uint16)
+        return np.zeros((0, number), np.uint16)
+    out = np.empty((len(sets), number), np.uint16)
     starts = np.cumsum([0, *map(len, sets)])
     every = np.concatenate(sets)
     at = 0
@@ -63,7 +67,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + 32_768, "right")) - 1)
             part, bounds = every[starts[at] : starts[to]], starts[at:to] - starts[at]
             hashed = np.empty_like(part)
-            for i in range(REGISTERS):
+            for i in range(number):
                 np.multiply(part, _MULTIPLY[i], out=hashed)
                 np.add(hashed, _ADD[i], out=hashed)
                 least = (np.minimum.reduceat(hashed, bounds).astype(np.float64) + 0.5) * 2.0**-64
@@ -132,18 +136,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED)
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _unpack(column: pa.Array, number: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, number)
+
+
+def _keys(sketch: np.ndarray) -> np.ndarray:
+    """Bucket of each band."""
+    levels = sketch[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << U(40), levels.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mix(key + levels[:, :, k])
+    return key.view(np.int64)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        levels = _unpack(batch.column("sketch"))[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << U(40), levels.shape[:2]).copy()
-        for k in range(ROWS):
-            key = mix(key + levels[:, :, k])
+        key = _keys(_unpack(batch.column("sketch")))
         node = np.repeat(batch.column("node").to_numpy(), BANDS)
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
+        yield pa.record_batch([pa.array(key.ravel()), pa.array(node)], ["bucket", "node"])
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = shingles(*text_bytes(part.column("text")))
+            some = [i for i, x in enumerate(sets) if len(x)]
+            fine = registers([sets[i] for i in some], FINE)
+            yield pa.record_batch([part.column("doc_id").take(pa.array(some, pa.int64())), pa.array([x.tobytes() for x in fine], pa.binary())], ["node", "fine"])
 
 
 def _likely(least: float):
@@ -226,40 +245,42 @@ def _onto(rows: DataFrame, column: str, points: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
 
 
-def _across(least: float):
-    """Pairs of different components in one block of a bucket: outsiders against all."""
+def _across(least: float, finer: float):
+    """Pairs of different components in one block of a bucket: outsiders against all.
+
+    A pair is looked at only in the first bucket that its two members share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        node, own, size = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        node, own, size, bucket = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "bucket"))
         outside = table.column("outsider").to_numpy()
         sketch = _unpack(table.column("sketch").combine_chunks())
+        fine = _unpack(table.column("fine").combine_chunks(), FINE)
+        keys = _keys(sketch)
+        band = int((keys[0] == bucket[0]).argmax())
         resident = np.flatnonzero(table.column("resident").to_numpy())
-        first, second, found = [], [], []
+        first, second = [], []
         for i in np.flatnonzero(outside):
             to = resident[own[resident] != own[i]]
-            to = to[(node[to] > node[i]) | ~_member(outside, to)]
-            if len(to):
-                likely = estimate(np.broadcast_to(sketch[i], (len(to), REGISTERS)), sketch[to], np.full(len(to), float(size[i])), size[to].astype(float))
-                to, likely = to[likely >= least], likely[likely >= least]
-                first += np.minimum(node[to], node[i]).tolist()
-                second += np.maximum(node[to], node[i]).tolist()
-                found += likely.tolist()
-        yield pa.record_batch([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "likely"])
+            to = to[(node[to] > node[i]) | ~outside[to]]
+            if band:
+                to = to[~(keys[to, :band] == keys[i, :band]).any(1)]
+            for sketches_of, limit in ((sketch, least), (fine, finer)):
+                if len(to):
+                    one = np.broadcast_to(sketches_of[i], (len(to), sketches_of.shape[1]))
+                    to = to[estimate(one, sketches_of[to], np.full(len(to), float(size[i])), size[to].astype(float)) >= limit]
+            first += np.minimum(node[to], node[i]).tolist()
+            second += np.maximum(node[to], node[i]).tolist()
+        yield pa.record_batch([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _member(flags: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return flags[rows]
-
-
 def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between nodes (node, n_shingles, sketch), and the components."""
     least = percent / 100 - MARGIN
-    buckets = cut(
-        nodes.select("node", "sketch").mapInArrow(_bands, "bucket long, node long")
-    )
+    buckets = cut(nodes.select("node", "sketch").mapInArrow(_bands, "bucket long, node long"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b"), "members"))
     side = nodes.select("node", "n_shingles", "sketch")
@@ -281,9 +302,13 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BL
     open_rows = members.select("bucket", F.col("b").alias("node"), "component").join(mixed, "bucket")
     open_rows = open_rows.withColumn("outsider", F.col("component") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = open_rows.withColumn("block", F.explode(F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    dealt = dealt.withColumn("resident", F.col("block") == F.col("home")).join(side, "node")
-    dealt = dealt.select("bucket", "block", "node", "component", "n_shingles", "outsider", "resident", "sketch")
-    across = dealt.groupBy("bucket", "block").applyInArrow(_across(least), "a long, b long, likely double")
+    dealt = cut(dealt.withColumn("resident", F.col("block") == F.col("home")).select("bucket", "block", "node", "component", "outsider", "resident"))
+    ids = dealt.select("node").distinct()
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, "node")
+    finer = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text").mapInArrow(_fine, "node long, fine binary").dropDuplicates(["node"])
+    dealt = dealt.join(side.join(finer, "node"), "node")
+    dealt = dealt.select("bucket", "block", "node", "component", "n_shingles", "outsider", "resident", "sketch", "fine")
+    across = dealt.groupBy("bucket", "block").applyInArrow(_across(least, percent / 100 - FINE_MARGIN), "a long, b long")
     known = first.select("node", "component")
     rest = _onto(_onto(candidates.select("a", "b").unionAll(across.select("a", "b")).distinct().withColumn("x", F.col("a")).withColumn("y", F.col("b")), "x", known), "y", known)
     rest = cut(rest.where("x <> y").select("a", "b").join(best, ["a", "b"], "left_anti"))
