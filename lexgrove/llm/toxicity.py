@@ -41,7 +41,7 @@ BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 6
-SAMPLE = 3000
+SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 PASSES = 4
 LEAST_DOCS = 4
@@ -137,19 +137,16 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> Model:
     """Fit vectors and softmax; see the module's text."""
     rng = np.random.default_rng(seed)
-    grams, counts, rows = word_grams(*text_bytes(pa.array(texts, pa.large_string())))
+    grams, counts, rows, common = _sample_grams(texts)
     edges = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(rows[:-1], rows[1:], strict=True)] or [np.zeros(0, np.int64)])
     doc = np.repeat(np.arange(len(texts)), -(-np.diff(rows) // WINDOW))
-    word_end = np.concatenate(([0], np.cumsum(counts)))
+    word_end = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     stop = np.minimum(edges + WINDOW, rows[doc + 1]) if len(edges) else edges
     edges = np.maximum(stop - WINDOW, rows[doc]) if len(edges) else edges
     low, high = word_end[edges], word_end[stop]
     usable = high > low
-    low, high, doc = low[usable], high[usable], doc[usable]
+    low, high, doc = low[usable], high[usable], doc[usable].astype(np.int32)
     toxic = labels[doc] > 0
-    # n-grams of fewer documents say more about those than about the class
-    pairs = np.unique(np.repeat(np.repeat(np.arange(len(texts)), np.diff(rows)), counts) * BUCKETS + grams)
-    common = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= LEAST_DOCS
     vectors = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     softmax = np.zeros(WIDTH, np.float32)
     bias = 0.0
@@ -188,14 +185,37 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
             bias -= rate * float(slip.mean())
             vectors[hit] -= step + DECAY * vectors[hit]
         model = Model(np.where(common, vectors @ softmax, 0.0), bias, 1.0, 0.0)
-    best = model.windows(grams, counts, rows)
+    parts = [slice(a, min(a + 50, len(texts))) for a in range(0, len(texts), 50)]
+    best = np.concatenate([model.windows(*word_grams(*text_bytes(pa.array(texts[p], pa.large_string())))) for p in parts])
     model.slope, model.shift = _logistic(np.arcsinh(best), labels)
     return model
 
 
+def _sample_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_grams of all texts, a few at a time, and whether an n-gram has LEAST_DOCS texts."""
+    grams, counts, rows, before = [], [], [np.zeros(1, np.int64)], 0
+    in_texts = np.zeros(BUCKETS, np.int32)
+    for a in range(0, len(texts), 50):
+        own, size, at = word_grams(*text_bytes(pa.array(texts[a : a + 50], pa.large_string())))
+        ends = np.concatenate(([0], np.cumsum(size)))[at]
+        for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            in_texts[np.unique(own[low:high])] += 1
+        grams.append(own)
+        counts.append(size.astype(np.int32))
+        rows.append(at[1:] + before)
+        before += int(at[-1])
+    # n-grams of fewer documents say more about those than about the class
+    return np.concatenate(grams), np.concatenate(counts), np.concatenate(rows), in_texts >= LEAST_DOCS
+
+
 def _window_odds(model: Model, grams: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(model.weight[grams])))
-    return (total[high] - total[low]) / (high - low) + model.bias
+    out = np.empty(len(low))
+    for a in range(0, len(low), 10_000):
+        first, last = low[a : a + 10_000], high[a : a + 10_000]
+        base = int(first.min())
+        total = np.concatenate(([0.0], np.cumsum(model.weight[grams[base : int(last.max())]])))
+        out[a : a + 10_000] = (total[last - base] - total[first - base]) / (last - first) + model.bias
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
