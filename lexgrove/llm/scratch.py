@@ -49,6 +49,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+REST = "lexgrove_rest"
+
+
+def folded(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*rest).alias(REST)] if rest else []))
+
+
+def unfolded(rows: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns that folded took, in their order."""
+    return rows.select(*[F.col(c) if c in needed else F.col(REST).getField(c).alias(c) for c in columns])
+
+
 def _probed(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     bit = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(BITMAP_WORDS * 64))
     bitmap = (

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import session_for
+from lexgrove.llm.scratch import folded, session_for, unfolded
 from lexgrove.llm.textcols import U, mix, slices, text_bytes, word_spans
 
 BUCKETS = 1 << 18
@@ -268,3 +268,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that score below the threshold."""
+    scored = with_score(folded(docs, "doc_id", "text"), fit(docs, labels), "_score").where(F.col("_score") < threshold)
+    return unfolded(scored, docs.columns, "doc_id", "text")
