@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexgrove.llm import line_dedup, mixing, near_dedup, packing, queries, toxicity
 from lexgrove.llm.scratch import shared_folder
@@ -19,8 +18,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return toxicity.drop_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    weights = queries.quality_weights(spark, sf_dir).withColumnRenamed("quality", "_quality")
-    # a label for each document at most: rows stay as they are
-    weighted = docs.join(weights, docs["doc_id"] == weights["_id"], "left").drop("_id")
-    return mixing.mixed_documents(weighted, quality="_quality").select(*columns)
+    return mixing.mixed_documents(docs, queries.quality_weights(spark, sf_dir))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

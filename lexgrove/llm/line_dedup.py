@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, session_for, shuffle_partitions
+from lexgrove.llm.scratch import cut, folded, session_for, shuffle_partitions, unfolded
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -202,9 +202,10 @@ def _kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents, all columns, with the text that stays; a null text stays null."""
     session_for(docs)
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    rows = folded(docs, "doc_id", "text")
+    joined = with_bitmaps(rows, keep_bitmaps(rows, min_chars, min_docs))
     kept_text = F.pandas_udf(_kept_text, "string")
-    return joined.select(*[(kept_text("text", "_keep") if c == "text" else F.col(c)).alias(c) for c in docs.columns])
+    return unfolded(joined.withColumn("text", kept_text("text", "_keep")), docs.columns, "doc_id", "text")
 
 
 ORACLE = r"""

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrove.llm.scratch import folded, unfolded
+
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MOST_EPOCHS = 2
@@ -128,8 +130,14 @@ def mixed(
     return both.select(*[c for c in docs.columns if c not in ("source_size", "target", "taken")], "source_size", "target", "taken", (F.col("_epochs") + F.col("_in").cast("long")).alias("_copies"))
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:  # noqa: ANN003
-    """The mix itself: docs, all columns, each row as often as it is taken."""
-    columns = docs.columns
-    rows = mix(docs, **parameters).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*columns)
+def mixed_documents(docs: DataFrame, weights_of: DataFrame | None = None, **parameters) -> DataFrame:  # noqa: ANN003
+    """The mix itself: docs, all columns, each row as often as it is taken.
+
+    weights_of: (_id, quality), a quality weight for each doc_id at most.
+    """
+    rows = folded(docs, "doc_id", "source", "text")
+    if weights_of is not None:
+        rows = rows.join(weights_of, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        parameters["quality"] = "quality"
+    taken = mix(rows, **parameters).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unfolded(taken, docs.columns, "doc_id", "source", "text")

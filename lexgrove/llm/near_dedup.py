@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, maybe_in, session_for, without
+from lexgrove.llm.scratch import cut, folded, maybe_in, session_for, unfolded, without
 from lexgrove.llm.textcols import U, mix, shingles, slices, text_bytes
 
 REGISTERS = 128
@@ -335,9 +335,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, blocks: int = BLOCK) ->
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The documents, all columns, that near_duplicates keeps; of rows equal in all columns one."""
     found = cut(near_duplicates(docs, percent))
-    kept = without(docs, "doc_id", found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "_id")
+    rows = folded(docs, "doc_id", "text")
+    kept = without(rows, "doc_id", found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "_id")
     again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
-    if again.isEmpty():
-        return kept
-    more = maybe_in(kept, "doc_id", again, "_id").join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-    return without(kept, "doc_id", again, "_id").unionByName(more.dropDuplicates())
+    if not again.isEmpty():
+        more = maybe_in(kept, "doc_id", again, "_id").join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+        kept = without(kept, "doc_id", again, "_id").unionByName(more.dropDuplicates())
+    return unfolded(kept, docs.columns, "doc_id", "text")
