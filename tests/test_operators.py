@@ -434,3 +434,34 @@ def test_sinks(spark, tmp_path):
     sinks.write_feature_files(lines, str(tmp_path / "cls"), "grp")
     assert rows(sinks.read_feature_files(spark, str(tmp_path / "cls")), "line", "grp") == [(",,G", "G"), ('aCOMMA"b,2.5,F', "F")]
     assert "F" in sinks.report(df.select("grp", "k"), "title")
+
+
+# -- transfer ---------------------------------------------------------------------------------------
+
+
+def test_tolerant_constituents(graph, spark):
+    from lexgrove.operators.transfer import tolerant_constituents
+
+    nodes, edges, up = graph
+    wanted = spark.createDataFrame([("s1", "a", t) for t in ("s1_1", "s1_2", "s1_5")] + [("s1", "b", f"s1_{i}") for i in (1, 2, 4, 5, 6)], "sent_id string, set_id string, term_id string")
+    exact = tolerant_constituents(wanted, nodes, edges, one_missing=False)
+    assert rows(exact, "set_id", "node_id") == rows(trees.maximal_constituents(wanted, nodes, edges, up), "set_id", "node_id")
+    assert rows(tolerant_constituents(wanted, nodes, edges), "set_id", "node_id") == [("a", "s1_5"), ("a", "s1_501"), ("b", "s1_501"), ("b", "s1_503")]
+
+
+def test_transfer(corpus, graph, spark):
+    from lexgrove.operators import transfer
+
+    nodes, edges, _ = graph
+    moved = transfer.transferred_elements(corpus["fe_node"], (nodes, edges), (nodes, edges))
+    assert rows(moved, "fe_id", "node_id") == rows(corpus["fe_node"], "fe_id", "node_id")
+    other = nodes.withColumn("word", F.when(F.col("node_id") == "s1_2", "cat").otherwise(F.col("word")))
+    assert rows(transfer.matched_terminals(nodes, other).select("sent_id").distinct()) == [("s2",)]
+    tab = spark.createDataFrame([("s2", 1, "barked", "bark+")], "sent_id string, pos int, word string, lemma string")
+    assert rows(transfer.lemmas_by_place(nodes, tab).where("sent_id = 's2' and kind = 't'"), "word", "lemma") == [("Dogs", "dog"), ("barked", "bark+")]
+    predictions = spark.createDataFrame([("s1---s1_f1", "s1_501 s1_500", "New"), ("s1---s1_f1", "s1_504 s1_503", "NONE")], "sentid string, nodeID string, label string")
+    fe, refs = transfer.written_roles(predictions, corpus["fe"], corpus["fe_node"])
+    assert rows(fe, "name", "is_target") == [("New", False), ("target", True)] and rows(refs, "node_id") == [("s1_4",), ("s1_501",)]
+    senses = spark.createDataFrame([("s2", ["s2_2"], "s2_2", "bark", "verb", "Noise")], "sent_id string, ids array<string>, main_id string, lemma string, pos string, sense string")
+    frame, element, nodes_of = transfer.written_senses(senses)
+    assert rows(frame, "frame_id", "name") == [("s2_f1", "Noise")] and rows(nodes_of, "fe_id", "node_id") == [("s2_f1_t", "s2_2")] and element.count() == 1
