@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shared_lines": line_dedup.ORACLE, "op9_warc_archives": warc.ORACLE}
+    return {"op1_near_duplicates": near_dedup.ORACLE, "op6_shared_lines": line_dedup.ORACLE, "op9_warc_archives": warc.ORACLE}
