@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import folded, unfolded
+from lexgrove.llm.scratch import cut, folded, unfolded
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -135,9 +135,17 @@ def mixed_documents(docs: DataFrame, weights_of: DataFrame | None = None, **para
 
     weights_of: (_id, quality), a quality weight for each doc_id at most.
     """
-    rows = folded(docs, "doc_id", "source", "text")
+    rows = folded(docs, "doc_id", "source", "text").withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    slim = cut(rows.select("_key", "doc_id", "source", word_count("text").alias("size")))
     if weights_of is not None:
-        rows = rows.join(weights_of, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        slim = slim.join(weights_of, F.col("doc_id") == F.col("_id"), "left").drop("_id")
         parameters["quality"] = "quality"
-    taken = mix(rows, **parameters).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return unfolded(taken, docs.columns, "doc_id", "source", "text")
+    # texts meet only the number of their copies; equal rows share theirs out
+    taken = cut(mixed(slim, **parameters).groupBy("_key").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0"))
+    some = rows.join(taken, "_key")
+    if not taken.where("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+        shared = some.where("_rows > 1").withColumn("_all", F.floor(F.col("_all") / F.col("_rows")) + (place <= F.col("_all") % F.col("_rows")).cast("long"))
+        some = some.where("_rows = 1").unionByName(shared.where("_all > 0"))
+    copies = some.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_all").cast("int"))))
+    return unfolded(copies, docs.columns, "doc_id", "source", "text")
