@@ -36,7 +36,7 @@ from lexgrove.llm.textcols import slices
 LENGTH = 2048
 END_ID = 0
 #: Texts between spaces whose ids a worker keeps; the store is emptied when full.
-KEPT = 400_000
+KEPT = 200_000
 
 #: Letters, digits and marks whose Unicode classes have not changed, and the public
 #: pre-tokenization pattern of byte-level BPE vocabularies.
