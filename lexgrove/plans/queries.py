@@ -636,6 +636,14 @@ def scalar_escapes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '``', '&quot;'), '\"', '&apos;&apos;'), '''', '&apos;') AS xml FROM pages"
+)
+def page_escapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole pages; scalar_escapes has the first 60 characters of each."""
+    return read(spark, folder, "pages").select("page_id", fn.escape_xml(F.col("html")).alias("xml"))
+
+
 @query("SELECT user_id, string_agg(event_type, ' ' ORDER BY c DESC, event_type) AS ranked FROM (SELECT user_id, event_type, round(max(value), 3) AS c FROM events GROUP BY ALL) GROUP BY user_id")
 def confidence_sort_join(spark: SparkSession, folder: str) -> DataFrame:
     top = read(spark, folder, "events").groupBy("user_id", "event_type").agg(F.round(F.max("value"), 3).alias("c"))
