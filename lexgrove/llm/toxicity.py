@@ -13,9 +13,8 @@ few words in a long text count as much as in a short one.
 Because the softmax is linear, a trained n-gram is one number at scoring time, and windows are
 differences of running sums.
 
-Training takes at most SAMPLE labelled documents, those with the least md5 of their id, and of
-each at most SAMPLE_CHARS characters; scoring takes whole texts. Inputs of a score are
-the text alone.
+Training takes at most SAMPLE labelled documents, those with the least md5 of their id.
+Training and scoring take whole texts. Inputs of a score are the text alone.
 
 Defined results: a null or empty text has no window and gets the score of a window with no
 evidence; a null doc_id is held in (its crc32 is null) and never trained on; labels whose
@@ -42,7 +41,8 @@ WIDTH = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 6
 SAMPLE = 2500
-SAMPLE_CHARS = 20_000
+#: Bytes of texts, about, whose n-grams are found at once.
+RUN = 1 << 19
 PASSES = 4
 LEAST_DOCS = 4
 DECAY = 1e-4
@@ -185,18 +185,22 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
             bias -= rate * float(slip.mean())
             vectors[hit] -= step + DECAY * vectors[hit]
         model = Model(np.where(common, vectors @ softmax, 0.0), bias, 1.0, 0.0)
-    parts = [slice(a, min(a + 50, len(texts))) for a in range(0, len(texts), 50)]
-    best = np.concatenate([model.windows(*word_grams(*text_bytes(pa.array(texts[p], pa.large_string())))) for p in parts])
+    best = np.concatenate([model.windows(*found) for found in _grams_by_run(texts)])
     model.slope, model.shift = _logistic(np.arcsinh(best), labels)
     return model
 
 
+def _grams_by_run(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    batch = pa.record_batch([pa.array(texts, pa.large_string())], ["text"])
+    for part in slices(batch, "text", RUN):
+        yield word_grams(*text_bytes(part.column("text")))
+
+
 def _sample_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_grams of all texts, a few at a time, and whether an n-gram has LEAST_DOCS texts."""
+    """word_grams of all texts, a run at a time, and whether an n-gram has LEAST_DOCS texts."""
     grams, counts, rows, before = [], [], [np.zeros(1, np.int64)], 0
     in_texts = np.zeros(BUCKETS, np.int32)
-    for a in range(0, len(texts), 50):
-        own, size, at = word_grams(*text_bytes(pa.array(texts[a : a + 50], pa.large_string())))
+    for own, size, at in _grams_by_run(texts):
         ends = np.concatenate(([0], np.cumsum(size)))[at]
         for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             in_texts[np.unique(own[low:high])] += 1
@@ -232,18 +236,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1] - beta[0] * middle / scale)
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Texts and labels to train on: rows whose crc32(doc_id) mod 3 is not 1."""
     kind = F.crc32(F.col("doc_id").cast("string")) % 3
     known = labels.where(F.col("toxic").isNotNull() & (kind != 1)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most).withColumnRenamed("doc_id", "_id")
-    texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
     rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("doc_id").collect()
     return [r["text"] or "" for r in rows], np.array([int(r["toxic"] > 0) for r in rows], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    texts, marks = sample_of(docs, labels, most, chars)
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    texts, marks = sample_of(docs, labels, most)
     if len(set(marks.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     return train(texts, marks)
@@ -257,7 +261,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in texts:
             batch = pa.record_batch([pa.array(column, pa.large_string(), from_pandas=True)], ["text"])
-            found = [shared.value.score(part.column("text")) for part in slices(batch, "text", 1 << 19)]
+            found = [shared.value.score(part.column("text")) for part in slices(batch, "text", RUN)]
             yield pd.Series(np.concatenate([np.zeros(0), *found]))
 
     return docs.withColumn(name, F.pandas_udf(run, "double")("text"))

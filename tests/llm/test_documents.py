@@ -368,6 +368,19 @@ def test_toxicity(spark, toxic_corpus):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in found if r["predicted"] == 0}
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark, toxic_corpus):
+    rows, _, bad = toxic_corpus
+    rng = np.random.default_rng(8)
+    clean = [t for i, t, _ in rows if i % 4]
+    words = sorted({w for t in clean for w in t.split()})
+    long = [" ".join([*rng.choice(words, 3300), *rng.choice(bad[:-1], 30)]) for _ in range(18)]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(clean + long)])
+    labels = spark.createDataFrame([(i, 1, int(i >= len(clean))) for i in range(len(clean + long))], "doc_id long, quality int, toxic int")
+    assert min(map(len, long)) > 20_300 and set(toxicity.sample_of(docs, labels)[0]) <= set(clean + long)
+    toxic, *free = toxicity.fit(docs, labels).score(pa.array([" ".join(bad), *clean]))
+    assert toxic >= toxicity.THRESHOLD > max(free)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
