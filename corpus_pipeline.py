@@ -16,6 +16,9 @@ from lexgrove.llm.scratch import shared_folder
 #: SQL can't express the trained, sampled and packed stages.
 ORACLE_SQL = None
 
+#: Least similarity of near duplicates in the stage; op1_near_duplicates takes 85.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, queries.table(spark, sf_dir, "labels"))
@@ -26,7 +29,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,13 +42,26 @@ RATE = 20.0
 TOP = 65534
 BANDS = 25
 ROWS = 5
-#: Estimates this far below the threshold are not verified: five standard errors at 0.85.
+#: Registers of a band below a threshold of 85 percent; there are as many bands as fit.
+LOW_ROWS = 4
+#: Estimates this far below the threshold are not verified: five standard errors at 0.85 (more at lower ones, see limits).
 MARGIN = 0.16
 #: Registers and margin (over four standard errors) of the finer sketches.
 FINE = 1024
 FINE_MARGIN = 0.047
 BLOCK = 512
 
+
+def limits(percent: int) -> tuple[int, float, float]:
+    """Registers of a band, and the least estimates by sketches and by finer ones, for a threshold.
+
+    A pair at the threshold shares no band once in 2 million at 85 percent, once in 20 million at 80.
+    """
+    j = percent / 100
+    error = (j * (1 - j)) ** 0.5
+    return ROWS if percent >= 85 else LOW_ROWS, j - max(MARGIN, 5 * error / REGISTERS**0.5), j - max(FINE_MARGIN, 4.1 * error / FINE**0.5)
+
+
 _rng = np.random.default_rng(1618)
 _MULTIPLY = _rng.integers(1, 2**63, FINE, dtype=np.uint64) << U(1) | U(1)
 _ADD = _rng.integers(1, 2**63, FINE, dtype=np.uint64)
@@ -140,20 +153,24 @@ def _unpack(column: pa.Array, number: int = REGISTERS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, number)
 
 
-def _keys(sketch: np.ndarray) -> np.ndarray:
+def _keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Bucket of each band."""
-    levels = sketch[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << U(40), levels.shape[:2]).copy()
-    for k in range(ROWS):
+    bands = REGISTERS // rows
+    levels = sketch[:, : bands * rows].astype(np.uint64).reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << U(40), levels.shape[:2]).copy()
+    for k in range(rows):
         key = mix(key + levels[:, :, k])
     return key.view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = _keys(_unpack(batch.column("sketch")))
-        node = np.repeat(batch.column("node").to_numpy(), BANDS)
-        yield pa.record_batch([pa.array(key.ravel()), pa.array(node)], ["bucket", "node"])
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _keys(_unpack(batch.column("sketch")), rows)
+            node = np.repeat(batch.column("node").to_numpy(), key.shape[1])
+            yield pa.record_batch([pa.array(key.ravel()), pa.array(node)], ["bucket", "node"])
+
+    return run
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +262,7 @@ def _onto(rows: DataFrame, column: str, points: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
 
 
-def _across(least: float, finer: float):
+def _across(least: float, finer: float, rows: int):
     """Pairs of different components in one block of a bucket: outsiders against all.
 
     A pair is looked at only in the first bucket that its two members share.
@@ -257,7 +274,7 @@ def _across(least: float, finer: float):
         outside = table.column("outsider").to_numpy()
         sketch = _unpack(table.column("sketch").combine_chunks())
         fine = _unpack(table.column("fine").combine_chunks(), FINE)
-        keys = _keys(sketch)
+        keys = _keys(sketch, rows)
         band = int((keys[0] == bucket[0]).argmax())
         resident = np.flatnonzero(table.column("resident").to_numpy())
         first, second = [], []
@@ -279,8 +296,8 @@ def _across(least: float, finer: float):
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between nodes (node, n_shingles, sketch), and the components."""
-    least = percent / 100 - MARGIN
-    buckets = cut(nodes.select("node", "sketch").mapInArrow(_bands, "bucket long, node long"))
+    rows, least, finest = limits(percent)
+    buckets = cut(nodes.select("node", "sketch").mapInArrow(_bands(rows), "bucket long, node long"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b"), "members"))
     side = nodes.select("node", "n_shingles", "sketch")
@@ -308,7 +325,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BL
     finer = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text").mapInArrow(_fine, "node long, fine binary").dropDuplicates(["node"])
     dealt = dealt.join(side.join(finer, "node"), "node")
     dealt = dealt.select("bucket", "block", "node", "component", "n_shingles", "outsider", "resident", "sketch", "fine")
-    across = dealt.groupBy("bucket", "block").applyInArrow(_across(least, percent / 100 - FINE_MARGIN), "a long, b long")
+    across = dealt.groupBy("bucket", "block").applyInArrow(_across(least, finest, rows), "a long, b long")
     known = first.select("node", "component")
     rest = _onto(_onto(candidates.select("a", "b").unionAll(across.select("a", "b")).distinct().withColumn("x", F.col("a")).withColumn("y", F.col("b")), "x", known), "y", known)
     rest = cut(rest.where("x <> y").select("a", "b").join(best, ["a", "b"], "left_anti"))

@@ -32,7 +32,7 @@ def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:

@@ -113,6 +113,21 @@ def test_near_duplicate_stage_keeps_one(spark, corpus):
     assert sorted(-1 if i is None else i for i in ids) == sorted({-1 if i is None else i for i in expected})
 
 
+def test_pipeline_stage_drops_pairs_from_080(spark, corpus):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):  # similarities 0.827 and 0.785
+        w = [f"v{x}" for x in rng.choice(10**6, 120, replace=False)]
+        rows += [(1000 + 2 * i, " ".join(w), "s"), (1001 + 2 * i, " ".join(w[: -11 if i % 2 else -14] + [f"u{i}x{k}" for k in range(11 if i % 2 else 14)]), "s")]
+    kept = {r[0] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").select("doc_id").collect()}
+    assert kept == {i for i, _, c in brute_components(rows, 80) if i == c} and len(kept) == 90
+    found = near_dedup.near_duplicates(frame(spark, corpus), 80, blocks=8).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted([tuple(r)[:3] for r in found], key=key) == sorted(brute_components(corpus, 80), key=key)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, near_dedup.components(chain).collect()))
