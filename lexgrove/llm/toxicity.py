@@ -40,7 +40,7 @@ BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 6
-SAMPLE = 2500
+SAMPLE = 3000
 #: Bytes of texts, about, whose n-grams are found at once.
 RUN = 1 << 19
 PASSES = 4

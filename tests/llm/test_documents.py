@@ -396,6 +396,13 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark, toxic_corpus):
     assert toxic >= toxicity.THRESHOLD > max(free)
 
 
+def test_toxicity_takes_3000_labels(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    usable = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(4000))
+    assert 2500 < usable < 3000 and len(toxicity.sample_of(docs, labels)[0]) == usable
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
