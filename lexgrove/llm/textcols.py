@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SHINGLE = 5
 _BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PLACE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -22,19 +22,6 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TURN = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | U(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions below size."""
-    global _powers
-    if _powers is None or len(_powers[0]) < size:
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +66,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and for each row the number of words before it."""
+    """A 64-bit hash of each word, and for each row the number of words before it.
+
+    Each pair of a byte and its place in the word has a mixed value of its own; a word's hash is
+    the mixed sum of them, so that no pattern of bytes cancels out.
+    """
     starts, ends = word_spans(data, offsets)
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -88,12 +79,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             low = starts[at]
             to = max(at + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
             high = ends[to - 1]
-            up, down = _power_tables(max(_BLOCK, int(high - low)) + 1)
+            s, e = starts[at:to] - low, ends[at:to] - low
+            begun = np.zeros(high - low, np.int64)
+            begun[s] = s
+            place = np.arange(high - low) - np.maximum.accumulate(begun)
             total = np.empty(high - low + 1, np.uint64)
             total[0] = 0
-            np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=total[1:])
-            s, e = starts[at:to] - low, ends[at:to] - low
-            out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            np.cumsum(mix(_BYTE[data[low:high]] + place.astype(np.uint64) * U(_PLACE)), out=total[1:])
+            out[at:to] = mix(total[e] - total[s] + (e - s).astype(np.uint64))
             at = to
     return out, np.searchsorted(starts, offsets)
 
