@@ -87,6 +87,11 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFram
     return _probed(rows, key, ids, id_col).where("_hit").drop("_hit")
 
 
+def never_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The other rows: those that maybe_in leaves out, null keys too. None of their keys is in ids."""
+    return _probed(rows, key, ids, id_col).where("not _hit").drop("_hit")
+
+
 def without(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows whose key is not in ids, null keys too; only those that the bitmap hits are shuffled."""
     probed = _probed(rows, key, ids, id_col)
