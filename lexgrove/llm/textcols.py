@@ -52,6 +52,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches joined to some with about ``most`` bytes of the column, or ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and (size + own > most or count + batch.num_rows > rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, count = [], 0, 0
+        held.append(batch)
+        size, count = size + own, count + batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word; rows bound words too."""
     if not len(data):
