@@ -35,8 +35,10 @@ from lexgrove.llm.textcols import slices
 
 LENGTH = 2048
 END_ID = 0
-#: Texts between spaces whose ids a worker keeps; the store is emptied when full.
-KEPT = 200_000
+#: Bytes of the store of known parts in a worker, about; it is emptied when full.
+KEPT = 48 << 20
+#: Characters of a part that is kept at most; longer ones are encoded each time.
+PART = 64
 
 #: Letters, digits and marks whose Unicode classes have not changed, and the public
 #: pre-tokenization pattern of byte-level BPE vocabularies.
@@ -59,7 +61,7 @@ class Encoder:
     def __init__(self, path: str, kept: int = KEPT) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept, self.known, self.bytes = Tokenizer.from_file(path), kept, {}, 0
         self.fast, self.special = None, ()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -102,13 +104,18 @@ class Encoder:
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.known.clear()
+        if self.bytes > self.kept:
+            self.known, self.bytes = {}, 0
         parts = [_CUT.split(t) for t in texts]
         found = [list(map(self.known.get, own)) for own in parts]
         if new := {p for own, ids in zip(parts, found, strict=True) if None in ids for p, i in zip(own, ids, strict=True) if i is None}:
             self._learn(list(new))
             found = [list(map(self.known.get, own)) if None in ids else ids for own, ids in zip(parts, found, strict=True)]
+            for p in new:
+                if len(p) > PART:
+                    del self.known[p]
+                else:  # both objects with their heads and an entry of the table
+                    self.bytes += 250 + 2 * len(p) + len(self.known[p])
         return [b"".join(ids) for ids in found]
 
 
