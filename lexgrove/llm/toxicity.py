@@ -13,7 +13,8 @@ few words in a long text count as much as in a short one.
 Because the softmax is linear, a trained n-gram is one number at scoring time, and windows are
 differences of running sums.
 
-Training takes at most SAMPLE labelled documents, those with the least md5 of their id.
+Training takes at most SAMPLE labelled documents, those with the least md5 of their id, in one
+executor's task, which keeps four bytes for each of their words and each distinct word's n-grams.
 Training and scoring take whole texts. Inputs of a score are the text alone.
 
 Defined results: a null or empty text has no window and gets the score of a window with no
@@ -134,18 +135,103 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.arcsinh(best) + self.shift, -50, 50)))
 
 
-def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> Model:
+class Sample:
+    """Training texts as word numbers: four bytes a word, and each distinct word's n-grams once.
+
+    Texts are added a column at a time and not kept.
+    """
+
+    def __init__(self) -> None:
+        self._known: dict[int, int] = {}
+        self._grams: list[np.ndarray] = []
+        self._counts: list[np.ndarray] = []
+        self._words: list[np.ndarray] = []
+        self._sizes: list[np.ndarray] = []
+
+    def add(self, column: pa.Array) -> None:
+        batch = pa.record_batch([column.cast(pa.large_string())], ["text"])
+        for part in slices(batch, "text", RUN):
+            grams, counts, rows = word_grams(*text_bytes(part.column("text")))
+            self._sizes.append(np.diff(rows))
+            if not len(counts):
+                continue
+            starts = np.cumsum(counts) - counts
+            place = np.arange(len(grams)) - np.repeat(starts, counts)
+            with np.errstate(over="ignore"):
+                key = np.add.reduceat(mix(grams.astype(np.uint64) + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), starts)
+            distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+            before = len(self._known)
+            number = np.array([self._known.setdefault(k, len(self._known)) for k in distinct.tolist()], np.int32)
+            new = first[number >= before]
+            self._counts.append(counts[new].astype(np.int32))
+            self._grams.append(grams[_ranges(starts[new], counts[new])])
+            self._words.append(number[place])
+
+    def finish(self) -> None:
+        """Join the parts: words of all texts on end, and where each text's begin."""
+        self.grams = np.concatenate([np.zeros(0, np.int32), *self._grams])
+        self.counts = np.concatenate([np.zeros(0, np.int32), *self._counts])
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        self.words = np.concatenate([np.zeros(0, np.int32), *self._words])
+        self.rows = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *self._sizes]))))
+        self._known, self._grams, self._counts, self._words, self._sizes = {}, [], [], [], []
+
+    def common(self) -> np.ndarray:
+        """Whether an n-gram has LEAST_DOCS texts; one of fewer says more about those than about the class."""
+        texts = np.zeros(BUCKETS, np.int32)
+        for a, b in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True):
+            own = np.unique(self.words[a:b])
+            texts[np.unique(self.grams[_ranges(self.starts[own], self.counts[own])])] += 1
+        return texts >= LEAST_DOCS
+
+    def bag(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of windows of words, on end, and the number of each window's."""
+        words = self.words[_ranges(low, high - low)]
+        counts = self.counts[words]
+        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[np.cumsum(high - low)]
+        return self.grams[_ranges(self.starts[words], counts)], np.diff(ends, prepend=0)
+
+    def totals(self, model: Model) -> np.ndarray:
+        """Each distinct word's sum of weights."""
+        return np.add.reduceat(model.weight[self.grams].astype(np.float64), self.starts) if len(self.starts) else np.zeros(0)
+
+    def odds(self, model: Model, total: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Log odds of windows of words, in order of low; total: as totals gives it."""
+        out = np.empty(len(low))
+        for a in range(0, len(low), 50_000):
+            first, last = low[a : a + 50_000], high[a : a + 50_000]
+            base = int(first.min())
+            words = self.words[base : int(last.max())]
+            sums, many = (np.concatenate(([0], np.cumsum(x[words]))) for x in (total, self.counts))
+            out[a : a + 50_000] = (sums[last - base] - sums[first - base]) / (many[last - base] - many[first - base]) + model.bias
+        return out
+
+    def best(self, model: Model) -> np.ndarray:
+        """Each text's likeliest window, at any word, as log odds; the bias for one without words."""
+        out, total = np.full(len(self.rows) - 1, model.bias), self.totals(model)
+        for i, (a, b) in enumerate(zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True)):
+            if b > a:
+                low = np.arange(a, max(a, b - WINDOW) + 1)
+                out[i] = self.odds(model, total, low, np.minimum(low + WINDOW, b)).max()
+        return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, on end."""
+    sizes = sizes.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def train(sample: Sample, labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> Model:
     """Fit vectors and softmax; see the module's text."""
     rng = np.random.default_rng(seed)
-    grams, counts, rows, common = _sample_grams(texts)
-    edges = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(rows[:-1], rows[1:], strict=True)] or [np.zeros(0, np.int64)])
-    doc = np.repeat(np.arange(len(texts)), -(-np.diff(rows) // WINDOW))
-    word_end = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    stop = np.minimum(edges + WINDOW, rows[doc + 1]) if len(edges) else edges
-    edges = np.maximum(stop - WINDOW, rows[doc]) if len(edges) else edges
-    low, high = word_end[edges], word_end[stop]
-    usable = high > low
-    low, high, doc = low[usable], high[usable], doc[usable].astype(np.int32)
+    sample.finish()
+    rows, common = sample.rows, sample.common()
+    windows = -(-np.diff(rows) // WINDOW)
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), windows)
+    low = np.repeat(rows[:-1] - WINDOW * (np.cumsum(windows) - windows), windows) + WINDOW * np.arange(int(windows.sum()))
+    high = np.minimum(low + WINDOW, rows[doc + 1])
+    low = np.maximum(high - WINDOW, rows[doc])
     toxic = labels[doc] > 0
     vectors = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     softmax = np.zeros(WIDTH, np.float32)
@@ -154,9 +240,9 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
     for turn in range(passes):
         target = toxic.astype(np.float32)
         if turn:
-            odds = _window_odds(model, grams, low, high)
+            odds = sample.odds(model, sample.totals(model), low, high)
             # of a toxic document: windows above even odds, and the likeliest in any case
-            best = np.full(len(texts), -np.inf)
+            best = np.full(len(labels), -np.inf)
             np.maximum.at(best, doc, odds)
             target = (toxic & ((odds > 0) | (odds >= best[doc]))).astype(np.float32)
             clean = np.flatnonzero(~toxic)
@@ -172,10 +258,10 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
         rate = 2.0 / (1 + turn)
         rounds = max(1, round(STEPS * 256 / max(1, len(pick))))  # small samples are gone over again
         for part in (x for _ in range(rounds) for x in np.array_split(rng.permutation(pick), max(1, len(pick) // 256))):
-            n = (high - low)[part]
-            at = np.repeat(low[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            bag = grams[at]
-            mean = np.add.reduceat(vectors[bag], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
+            if not len(part):
+                continue
+            bag, n = sample.bag(low[part], high[part])
+            mean = np.add.reduceat(vectors[bag], np.cumsum(n) - n, axis=0) / n[:, None]
             found = 1 / (1 + np.exp(-np.clip(mean @ softmax + bias, -30, 30)))
             slip = (found - target[part]) * weight[part]
             push = np.bincount(bag, np.repeat(slip / n, n), BUCKETS)
@@ -185,43 +271,10 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
             bias -= rate * float(slip.mean())
             vectors[hit] -= step + DECAY * vectors[hit]
         model = Model(np.where(common, vectors @ softmax, 0.0), bias, 1.0, 0.0)
-    best = np.concatenate([model.windows(*found) for found in _grams_by_run(texts)])
-    model.slope, model.shift = _logistic(np.arcsinh(best), labels)
+    model.slope, model.shift = _logistic(np.arcsinh(sample.best(model)), labels)
     return model
 
 
-def _grams_by_run(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    batch = pa.record_batch([pa.array(texts, pa.large_string())], ["text"])
-    for part in slices(batch, "text", RUN):
-        yield word_grams(*text_bytes(part.column("text")))
-
-
-def _sample_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_grams of all texts, a run at a time, and whether an n-gram has LEAST_DOCS texts."""
-    grams, counts, rows, before = [], [], [np.zeros(1, np.int64)], 0
-    in_texts = np.zeros(BUCKETS, np.int32)
-    for own, size, at in _grams_by_run(texts):
-        ends = np.concatenate(([0], np.cumsum(size)))[at]
-        for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            in_texts[np.unique(own[low:high])] += 1
-        grams.append(own)
-        counts.append(size.astype(np.int32))
-        rows.append(at[1:] + before)
-        before += int(at[-1])
-    # n-grams of fewer documents say more about those than about the class
-    return np.concatenate(grams), np.concatenate(counts), np.concatenate(rows), in_texts >= LEAST_DOCS
-
-
-def _window_odds(model: Model, grams: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    out = np.empty(len(low))
-    for a in range(0, len(low), 10_000):
-        first, last = low[a : a + 10_000], high[a : a + 10_000]
-        base = int(first.min())
-        total = np.concatenate(([0.0], np.cumsum(model.weight[grams[base : int(last.max())]])))
-        out[a : a + 10_000] = (total[last - base] - total[first - base]) / (last - first) + model.bias
-    return out
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve of y by x, by Newton's method with a slight prior."""
     scale, middle = max(float(np.std(x)), 1e-6), float(np.mean(x))
@@ -236,21 +289,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1] - beta[0] * middle / scale)
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to train on: rows whose crc32(doc_id) mod 3 is not 1."""
+def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) to train on: rows whose crc32(doc_id) mod 3 is not 1."""
     kind = F.crc32(F.col("doc_id").cast("string")) % 3
     known = labels.where(F.col("toxic").isNotNull() & (kind != 1)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most).withColumnRenamed("doc_id", "_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("doc_id").collect()
-    return [r["text"] or "" for r in rows], np.array([int(r["toxic"] > 0) for r in rows], np.int64)
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("toxic"))
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample, labels = Sample(), []
+    for batch in batches:
+        sample.add(batch.column("text"))
+        labels += [int((x or 0) > 0) for x in batch.column("toxic").to_pylist()]
+    if len(set(labels)) == 2:
+        model = train(sample, np.array(labels, np.int64))
+        columns = [model.weight.astype(np.float32).tobytes()], [float(model.bias)], [model.slope], [model.shift]
+        yield pa.record_batch([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.float64()) for c in columns[1:])], ["weight", "bias", "slope", "shift"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    texts, marks = sample_of(docs, labels, most)
-    if len(set(marks.tolist())) < 2:
+    """Trained in one task over the sample, a bounded number of texts; the driver gets the weights alone."""
+    session_for(docs)
+    ordered = sample_of(docs, labels, most).repartition(1).sortWithinPartitions("doc_id")
+    found = ordered.select("text", "toxic").mapInArrow(_trained, "weight binary, bias double, slope double, shift double").collect()
+    if not found:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
-    return train(texts, marks)
+    return Model(np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"], found[0]["slope"], found[0]["shift"])
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +14,7 @@ import pytest
 
 from lexgrove.llm import line_dedup, media, mixing, near_dedup, packing, quality, textcols, toxicity
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _keep string, size string, kept string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -57,6 +61,16 @@ def test_shingles_equal_words(corpus):
     assert [len(x) for x in textcols.shingles(data, offsets)] == [len(x) for x in sets_of(texts)]
 
 
+def test_word_hash_tells_patterns_apart():
+    """Complementary Thue-Morse words agree under any polynomial modulo 2**64."""
+    signs = [0]
+    for _ in range(10):
+        signs += [1 - x for x in signs]
+    one, two = "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+    hashes, _ = textcols.word_hashes(*textcols.text_bytes(pa.array([one, two])))
+    assert hashes[0] != hashes[1]
+
+
 def test_word_hash_is_free_of_place():
     a = textcols.word_hashes(*textcols.text_bytes(pa.array(["x" * 5000 + " Été b", "b  ÉtÉ"])))[0]
     b = textcols.word_hashes(*textcols.text_bytes(pa.array(["b ÉtÉ été"])))[0]
@@ -246,6 +260,18 @@ def test_encoder_equals_tokenizer(tokenizer_path, corpus):
     assert encoder(texts) == expected and encoder(texts) == expected
 
 
+def test_encoder_keeps_no_long_parts(tokenizer_path):
+    """Texts without spaces between marks are encoded each time; the store is bounded in bytes."""
+    encoder = packing.Encoder(tokenizer_path, kept=100_000)
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        long = ["".join(rng.choice(list("abcdef-"), 60_000)) for _ in range(3)]
+        short = [" ".join("".join(rng.choice(list("abcdef"), 8)) for _ in range(200))]
+        expected = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(long + short, add_special_tokens=False)]
+        assert encoder(long + short) == expected
+        assert max(map(len, encoder.known), default=0) <= packing.PART and len(encoder.known) < 1000
+
+
 def test_pack(spark, tokenizer_path, corpus):
     rows = [(i, t, s) for i, t, s in corpus if i is not None and i != 307] + [(1000 + i, t, "s") for i, t in enumerate(ODD)]
     found = packing.pack(frame(spark, rows), tokenizer_path).collect()
@@ -391,7 +417,7 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark, toxic_corpus):
     long = [" ".join([*rng.choice(words, 3300), *rng.choice(bad[:-1], 30)]) for _ in range(18)]
     docs = frame(spark, [(i, t, "s") for i, t in enumerate(clean + long)])
     labels = spark.createDataFrame([(i, 1, int(i >= len(clean))) for i in range(len(clean + long))], "doc_id long, quality int, toxic int")
-    assert min(map(len, long)) > 20_300 and set(toxicity.sample_of(docs, labels)[0]) <= set(clean + long)
+    assert min(map(len, long)) > 20_300 and {r["text"] for r in toxicity.sample_of(docs, labels).collect()} <= set(clean + long)
     toxic, *free = toxicity.fit(docs, labels).score(pa.array([" ".join(bad), *clean]))
     assert toxic >= toxicity.THRESHOLD > max(free)
 
@@ -400,7 +426,26 @@ def test_toxicity_takes_3000_labels(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "concat('w', id) AS text")
     labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
     usable = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(4000))
-    assert 2500 < usable < 3000 and len(toxicity.sample_of(docs, labels)[0]) == usable
+    assert 2500 < usable < 3000 and toxicity.sample_of(docs, labels).count() == usable
+
+
+_TRAINING = """
+import resource, numpy as np, pyarrow as pa
+from lexgrove.llm import toxicity
+rng = np.random.default_rng(1)
+words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(20000)])
+sample, before = toxicity.Sample(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in range(25):
+    sample.add(pa.array([" ".join(rng.choice(words, 3334))[:20000] for _ in range(100)]))
+toxicity.train(sample, np.arange(2500) % 2, passes=2)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_toxicity_trains_on_long_texts_in_bounded_memory():
+    """2500 texts of 20,000 characters, 50 MB, within 600 MB."""
+    found = subprocess.run([sys.executable, "-c", _TRAINING], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(found.stdout) < 600
 
 
 def test_toxicity_without_labels(spark):
@@ -409,19 +454,16 @@ def test_toxicity_without_labels(spark):
     assert [(r["score"], r["predicted"]) for r in toxicity.toxicity_scores(docs, none).collect()] == [(0.5, 0)]
 
 
-def test_quality_against_brute_force(spark):
-    """One model, both ways of scoring, and the defining formulas with dictionaries."""
-    trusted = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "the end"]
-    texts = [*trusted, "THE CAT", "zzz qqq", "", None, "the"]
-    rows = [(i, t, "s") for i, t in enumerate(texts)]
-    docs = frame(spark, rows)
-    model = docs.where(f"doc_id < {len(trusted)}")
-    one = {r[0]: r[2] for r in quality.perplexities(docs, model).collect()}
-    two = {r[0]: r[2] for r in quality.perplexities(docs, model, table_rows=0).collect()}
-    n = quality.ORDER
-    grams = lambda t, k: [((b"\n" * (n - 1) + t.lower().encode())[i - k + 1 : i + 1]) for i in range(n - 1, n - 1 + len(t.encode()))]
-    levels = {n: collections.Counter(g for t in trusted for g in grams(t, n))}
-    for k in range(n - 1, 0, -1):
+def _perplexity(trusted, text):
+    """The defining formulas, with dictionaries."""
+
+    def grams(t):
+        found = textcols.word_hashes(*textcols.text_bytes(pa.array([t])))[0].tolist()
+        kinds = [quality.CLASSES] * 2 + [w >> 58 for w in found]
+        return [(kinds[i], kinds[i + 1], w) for i, w in enumerate(found)]
+
+    levels = {3: collections.Counter(g for t in trusted for g in grams(t))}
+    for k in (2, 1):
         levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
 
     def discount(k, c):
@@ -434,7 +476,7 @@ def test_quality_against_brute_force(spark):
     def p(g):
         k = len(g)
         if not k:
-            return 1 / 256
+            return 1 / (len({x[-1] for x in levels[3]}) + 1)
         same = {x: c for x, c in levels[k].items() if x[:-1] == g[:-1]}
         total = sum(same.values())
         if not total:
@@ -443,12 +485,56 @@ def test_quality_against_brute_force(spark):
         c = levels[k].get(g, 0)
         return (max(c - discount(k, c), 0) if c else 0) / total + spare / total * p(g[1:])
 
-    for i, t, _ in rows:
-        if not t:
-            assert one[i] is None and two[i] is None
-        else:
-            expected = np.exp(-np.mean([np.log(p(g)) for g in grams(t, n)]))
-            assert abs(one[i] / expected - 1) < 1e-5 and abs(two[i] / expected - 1) < 1e-5
+    own = grams(text or "")
+    return np.exp(-np.mean([np.log(p(g)) for g in own])) if own else None
+
+
+@pytest.mark.parametrize("head", [0, 3, 256])
+def test_quality_against_brute_force(spark, monkeypatch, head):
+    """Whatever number of words all tasks get, shards and texts that come again."""
+    monkeypatch.setattr(quality, "HEAD", max(head, 1))
+    rng = np.random.default_rng(6)
+    words_of = [f"w{i}" for i in range(25)]
+    trusted = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "the end", *(" ".join(rng.choice(words_of, 30)) for _ in range(5))]
+    texts = [*trusted, "THE CAT", "zzz qqq zzz", "", None, "the", " \n", "the dog sat", " ".join(rng.choice(words_of, 5000)), "w1 " * 300]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    docs = docs.withColumn("trusted", docs["doc_id"] < len(trusted))
+    found = {r[0]: r[2] for r in quality.perplexities(docs, shards=7).collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        expected = _perplexity(trusted, t)
+        assert found[i] is None if expected is None else abs(found[i] / expected - 1) < 1e-5
+
+
+def test_quality_thresholds(spark):
+    """Quantile by language of the held-out trusted, times the margin; ids sent and joined give the same."""
+    rng = np.random.default_rng(7)
+    words_of = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words_of, 20 + i % 9)), None if i % 5 == 0 else f"l{i % 3}") for i in range(240)]
+    rows += [(7, rows[7][1], "l1"), (None, "w1 w2", "l0"), (900, None, "l2"), (901, "", "lx"), (902, "w3 w4 w5", "lx")]
+    docs = spark.createDataFrame([(i, t, lang, "s", "clash") for i, t, lang in rows], "doc_id long, text string, lang string, source string, trusted string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)] + [(9, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    found = quality.quality(docs, labels).collect()
+    again = quality.quality(docs, labels, sent=0).collect()
+    assert len(found) == len(again) == len(rows)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["perplexity"])
+    for one, two in zip(sorted(found, key=key), sorted(again, key=key), strict=True):
+        assert one["doc_id"] == two["doc_id"] and one["kept"] == two["kept"]
+        assert one["perplexity"] == two["perplexity"] or abs(one["perplexity"] / two["perplexity"] - 1) < 1e-6
+    held = {i for i in range(200) if i % 4 and zlib.crc32(str(i).encode()) % 3 == 1}
+    by_id = {r["doc_id"]: r for r in found}
+    groups = collections.defaultdict(list)
+    for i, _, lang in rows:
+        if i in held:
+            groups[lang].append(by_id[i]["perplexity"])
+            groups["all"].append(by_id[i]["perplexity"])
+    for i, t, lang in rows:
+        own = sorted(groups.get(lang) or groups["all"])
+        limit = own[int(np.ceil(quality.QUANTILE * len(own))) - 1] * quality.MARGIN
+        r = by_id[i]
+        assert abs(r["threshold"] / limit - 1) < 1e-9
+        assert r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= r["threshold"])
+        assert (r["perplexity"] is None) == (not words(t))
 
 
 def test_quality_keeps_clean_text(spark, toxic_corpus):
