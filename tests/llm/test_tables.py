@@ -94,6 +94,47 @@ def test_nearest_of_few_and_none(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_nearest_repeated_and_null_ids(spark):
+    """Rows that repeat a query's id are no candidates of it; a row without an id is found, but asks nothing."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (None, [0.5, 0.5]), (20, [0.0, 1.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0 and r["vec_id"] is not None)
+    assert [(r, i) for r, i, _ in own] == [(1, 1), (2, 1), (4, 20)] and {r["query_id"] for r in found} == {0, 20}
+
+
+def test_nearest_of_huge_components(spark):
+    """Squares beyond a double's range: rows take part, products are infinite."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 0.0]), (3, [-1e200, 1.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, float("inf")), (2, 1e200), (3, float("-inf"))]
+
+
+@pytest.mark.parametrize(("kind", "rows"), [("spread", 20_000), ("clusters", 200_000)])
+def test_collisions_filter(kind, rows):
+    """At most a tenth of the rows is verified, and nine tenths of the neighbours are found."""
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((rows, 64))
+    if kind == "clusters":
+        vectors = rng.standard_normal((400, 64))[rng.integers(400, size=rows)] + 0.3 * vectors
+    vectors, ids = vectors.astype("f4"), np.arange(rows)
+    largest = float(np.abs(vectors).max())
+    norm = float(np.sqrt(((vectors / largest) ** 2).sum(1).max()))
+    hashing = neighbours.Hashing(vectors[rng.permutation(rows)[: neighbours.SAMPLE]].astype(float), largest, 20, rows, norm)
+    asked = np.arange(0, rows, rows // 40)
+    queries = vectors[asked].astype(float)
+    exact = queries @ vectors.T.astype(float)
+    exact[np.arange(len(asked)), asked] = -np.inf
+    best = [[] for _ in asked]
+    verified = 0
+    for a in range(0, rows, neighbours.BLOCK):
+        index = neighbours.Index(hashing, ids[a : a + neighbours.BLOCK], vectors[a : a + neighbours.BLOCK])
+        for own, (found, score) in zip(best, index.search(queries, asked, 20), strict=True):
+            own += zip((-score).tolist(), found.tolist(), strict=True)
+        verified += index.verified
+    recall = np.mean([len({i for _, i in sorted(own)[:20]} & set(np.argsort(-e)[:20].tolist())) / 20 for own, e in zip(best, exact, strict=True)])
+    assert recall >= 0.9 and verified <= 0.1 * rows * len(asked)
+
+
 def conversation(rng, i, turns):
     out = []
     for t in range(turns):
