@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, session_for, shuffle_partitions
+from lexgrove.llm.scratch import cut, cut_in_order, session_for, shuffle_partitions
 
 #: Markers of speakers, by the role that they usually stand for.
 MARKERS = {
@@ -239,7 +239,7 @@ def roles(turns: DataFrame, train: DataFrame | None = None) -> DataFrame:
     if chain is None:
         return rows.select("conv_id", "turn", F.lit(None).cast("string").alias("role"), F.udf(canonical)("text", F.lit(None)).alias("rendered"))
     shared = spark.sparkContext.broadcast(chain)
-    ranged = cut(
+    ranged = cut_in_order(
         rows.select("conv_id", "turn", "text", "features")
         .repartitionByRange(shuffle_partitions(spark), "conv_id", "turn", "text")
         .sortWithinPartitions("conv_id", "turn", "text")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, session_for, shuffle_partitions
+from lexgrove.llm.scratch import cut, cut_in_order, session_for, shuffle_partitions
 from lexgrove.llm.textcols import slices
 
 LENGTH = 2048
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     """
     spark = session_for(docs)
     pieces = cut(docs.select("doc_id", "text").mapInArrow(_cut_pieces(tokenizer, length, end_id), _PIECES))
-    ranged = cut(
+    ranged = cut_in_order(
         pieces.repartitionByRange(shuffle_partitions(spark), "length", "doc_id", "piece", "ids_crc32")
         .sortWithinPartitions("length", "doc_id", "piece", "ids_crc32")
         .withColumn("task", F.spark_partition_id())

@@ -1,9 +1,10 @@
-"""Session helpers shared by the operators: reliable checkpoints, Arrow batch bounds,
+"""Session helpers shared by the operators: cuts of lineage, Arrow batch bounds,
 and a broadcast bitmap of fixed size that prunes rows before a join."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute the frame once, into the shared checkpoint folder."""
+    """Compute the frame once, into a table in the shared folder; neither order nor partitions are kept.
+
+    A checkpoint would run the last stage twice and pass on estimated sizes, which the joins of
+    a loop multiply to numbers of unbounded length; a table's size is known.
+    """
+    spark = session_for(df)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_in_order(df: DataFrame) -> DataFrame:
+    """Compute the frame once, by a reliable checkpoint, with its partitions and their order."""
     session_for(df)
     return df.checkpoint(eager=True)
 
