@@ -13,10 +13,12 @@
 4. Each member's best pair is confirmed on both full sets, and components are formed by
    pointer jumping and contraction.
 5. Rest: in buckets that still hold several components, every pair of members of different
-   components is compared, the members outside the largest component against all, in blocks,
-   each pair in the first bucket that it shares: by its sketch, and then by a finer one of
-   FINE registers. Pairs still near enough, and the candidates not yet confirmed that would
-   join two components, are confirmed on full sets, and components are formed anew. So no
+   components is verified, the members outside the largest component against all, in blocks
+   of bounded size, each pair in the first bucket that it shares: on full sets, by postings of
+   a block's shingles. A link found joins its components in the block at once, so a block
+   gives fewer links than it has rows, however many pairs are alike. Sets of more than LONG
+   shingles stay out of blocks; there the sketch, and a finer one of FINE registers, find the
+   pairs that are then confirmed by joins, as are the candidates of buckets of two. So no
    pair that shares a bucket is lost, and pairs within a component are not looked at.
 
 Defined results: a document without words (or a null text) has an empty set, is linked with
@@ -49,7 +51,10 @@ MARGIN = 0.16
 #: Registers and margin (over four standard errors) of the finer sketches.
 FINE = 1024
 FINE_MARGIN = 0.047
-BLOCK = 512
+#: Members of a bucket that meet as many others in one group.
+BLOCK = 1024
+#: Shingles of a set that blocks hold in full.
+LONG = 4096
 
 
 def limits(percent: int) -> tuple[int, float, float]:
@@ -174,12 +179,13 @@ def _bands(rows: int):
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full set of each document, or the finer sketch of a long one."""
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingles(*text_bytes(part.column("text")))
             some = [i for i, x in enumerate(sets) if len(x)]
-            fine = registers([sets[i] for i in some], FINE)
-            yield pa.record_batch([part.column("doc_id").take(pa.array(some, pa.int64())), pa.array([x.tobytes() for x in fine], pa.binary())], ["node", "fine"])
+            packed = [(sets[i] if len(sets[i]) <= LONG else registers([sets[i]], FINE)).tobytes() for i in some]
+            yield pa.record_batch([part.column("doc_id").take(pa.array(some, pa.int64())), pa.array(packed, pa.binary())], ["node", "fine"])
 
 
 def _likely(least: float):
@@ -189,7 +195,7 @@ def _likely(least: float):
                 size = [batch.column(c).to_numpy().astype(float) for c in ("size_a", "size_b")]
                 found = estimate(_unpack(batch.column("sketch_a")), _unpack(batch.column("sketch_b")), *size)
                 keep = pa.array(found >= least)
-                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "likely"]).filter(keep)
+                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found), batch.column("members")], ["a", "b", "likely", "members"]).filter(keep)
 
     return run
 
@@ -201,6 +207,16 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "items"])
 
 
+def _near(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    short, long = (one, two) if len(one) < len(two) else (two, one)
+    if 100 * len(short) < percent * len(long) or not len(short):
+        return False
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +224,7 @@ def _confirm(percent: int):
             for a, one, two in zip(batch.column("a").to_pylist(), batch.column("items_a"), batch.column("items_b"), strict=True):
                 if a != last:
                     last, left = a, np.frombuffer(one.as_py(), np.uint64)
-                right = np.frombuffer(two.as_py(), np.uint64)
-                short, long = (left, right) if len(left) < len(right) else (right, left)
-                if 100 * len(short) < percent * len(long) or not len(short):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(long, short)
-                both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+                keep.append(_near(left, np.frombuffer(two.as_py(), np.uint64), percent))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -262,49 +271,86 @@ def _onto(rows: DataFrame, column: str, points: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
 
 
-def _across(least: float, finer: float, rows: int):
-    """Pairs of different components in one block of a bucket: outsiders against all.
+def _merged(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) with more links (a, b) between their nodes or new ones."""
+    contracted = cut(_onto(_onto(more.select("a", "b"), "a", known), "b", known).where("a <> b").distinct())
+    if contracted.isEmpty():
+        return known
+    moved = components(contracted)
+    return cut(_onto(known, "component", moved).select("node", "component").unionAll(moved.join(known, "node", "left_anti")))
 
-    A pair is looked at only in the first bucket that its two members share.
+
+def _across(percent: int):
+    """Links of different components in one block of a bucket: outsiders against residents.
+
+    A pair is looked at only in the first bucket that its two members share. Links that full
+    sets confirm are sure; a pair of which one is long is only likely.
     """
+    rows, least, finer = limits(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        node, own, size, bucket = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "bucket"))
-        outside = table.column("outsider").to_numpy()
+        table = pa.Table.from_batches(list(batches)).sort_by("node")
+        node, label, size, bucket = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "bucket"))
+        label = label.copy()
+        outside, resident, asked = (table.column(c).to_numpy() for c in ("outsider", "resident", "asked"))
         sketch = _unpack(table.column("sketch").combine_chunks())
-        fine = _unpack(table.column("fine").combine_chunks(), FINE)
+        packed = table.column("fine").to_pylist()
         keys = _keys(sketch, rows)
         band = int((keys[0] == bucket[0]).argmax())
-        resident = np.flatnonzero(table.column("resident").to_numpy())
-        first, second = [], []
-        for i in np.flatnonzero(outside):
-            to = resident[own[resident] != own[i]]
-            to = to[(node[to] > node[i]) | ~outside[to]]
-            if band:
-                to = to[~(keys[to, :band] == keys[i, :band]).any(1)]
-            for sketches_of, limit in ((sketch, least), (fine, finer)):
-                if len(to):
-                    one = np.broadcast_to(sketches_of[i], (len(to), sketches_of.shape[1]))
-                    to = to[estimate(one, sketches_of[to], np.full(len(to), float(size[i])), size[to].astype(float)) >= limit]
-            first += np.minimum(node[to], node[i]).tolist()
-            second += np.maximum(node[to], node[i]).tolist()
-        yield pa.record_batch([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+        there = np.flatnonzero(resident)
+        found: list[tuple[int, int, bool]] = []
+
+        def items(i: int, kind: type = np.uint64) -> np.ndarray:
+            return np.frombuffer(packed[i], kind)
+
+        def fine(i: int) -> np.ndarray:
+            return items(i, np.uint16)[None] if size[i] > LONG else registers([items(i)], FINE)
+
+        # postings of the short residents' shingles: an outsider's intersections with all of them at once
+        short = there[size[there] <= LONG]
+        every, owner = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(items, short)]), return_inverse=True)
+        holder = np.repeat(np.arange(len(short)), size[short])[np.argsort(owner, kind="stable")]
+        many = np.bincount(owner, minlength=len(every))
+        starts = np.cumsum(many) - many
+        for i in np.flatnonzero(asked):
+            near = np.zeros(0, np.int64)
+            if size[i] <= LONG and len(every):
+                own = items(i)
+                at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+                at = at[every[at] == own]
+                n = many[at]
+                both = np.bincount(holder[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(short))
+                near = short[100 * both >= percent * (size[short] + size[i] - both)]
+            maybe = there[(size[there] > LONG) | (size[i] > LONG)]
+            maybe = maybe[100 * np.minimum(size[maybe], size[i]) >= percent * np.maximum(size[maybe], size[i])]
+            if len(maybe):
+                likely = estimate(np.broadcast_to(sketch[i], (len(maybe), REGISTERS)), sketch[maybe], np.full(len(maybe), float(size[i])), size[maybe].astype(float))
+                maybe = maybe[likely >= least]
+            for j in (*near.tolist(), *maybe.tolist()):
+                seen = not (node[j] > node[i] or not outside[j]) or (keys[j, :band] == keys[i, :band]).any()
+                if label[j] == label[i] or seen:
+                    continue
+                pair = min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+                if max(size[i], size[j]) <= LONG:
+                    found.append((*pair, True))
+                    label[label == label[j]] = label[i]
+                elif estimate(fine(i), fine(j), size[i : i + 1].astype(float), size[j : j + 1].astype(float))[0] >= finer:
+                    found.append((*pair, False))
+        yield pa.record_batch([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "sure"])
 
     return run
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between nodes (node, n_shingles, sketch), and the components."""
-    rows, least, finest = limits(percent)
+    rows, least, _ = limits(percent)
     buckets = cut(nodes.select("node", "sketch").mapInArrow(_bands(rows), "bucket long, node long"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b"), "members"))
     side = nodes.select("node", "n_shingles", "sketch")
     left, right = (side.select(F.col("node").alias(c), F.col("n_shingles").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    candidates = cut(
-        shared.where("a <> b").select("a", "b").distinct().join(right, "b").join(left, "a").mapInArrow(_likely(least), "a long, b long, likely double")
-    )
+    pairs = shared.where("a <> b").groupBy("a", "b").agg(F.min("members").alias("members"))
+    candidates = cut(pairs.join(right, "b").join(left, "a").mapInArrow(_likely(least), "a long, b long, likely double, members long"))
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a")).select("a", "b")
     best = cut(best)
     sure = cut(confirmed(docs, best, percent))
@@ -314,24 +360,32 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 85, blocks: int = BL
     label = first.select(F.col("node").alias("b"), "component")
     members = shared.where("members > 2").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
     by_component = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-    mixed = mixed.where("kinds > 1").select("bucket", "largest", F.ceil(F.col("all") / blocks).cast("int").alias("blocks"))
+    mixed = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    number = lambda n: F.ceil(n / blocks).cast("int")
+    mixed = mixed.where("kinds > 1").select("bucket", "largest", number(F.col("all")).alias("blocks"), number(F.col("all") - F.col("most")).alias("turns"))
     open_rows = members.select("bucket", F.col("b").alias("node"), "component").join(mixed, "bucket")
-    open_rows = open_rows.withColumn("outsider", F.col("component") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = open_rows.withColumn("block", F.explode(F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    dealt = cut(dealt.withColumn("resident", F.col("block") == F.col("home")).select("bucket", "block", "node", "component", "outsider", "resident"))
+    hashed = F.xxhash64("node")
+    open_rows = open_rows.withColumn("outsider", F.col("component") != F.col("largest")).withColumn("home", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("own", F.pmod(hashed, F.col("turns")).cast("int"))
+    # groups of blocks x turns: a member is resident in all of its home block's, an outsider asks in all of its own turn's
+    number_of = lambda n: F.sequence(F.lit(0), n - 1)
+    here = F.transform(number_of(F.col("turns")), lambda t: F.struct(F.col("home").alias("block"), t.alias("turn")))
+    asks = F.transform(number_of(F.col("blocks")), lambda k: F.struct(k.alias("block"), F.col("own").alias("turn")))
+    dealt = open_rows.withColumn("to", F.explode(F.when(F.col("outsider"), F.array_union(here, asks)).otherwise(here)))
+    at_home, in_turn = F.col("to.block") == F.col("home"), F.col("outsider") & (F.col("to.turn") == F.col("own"))
+    dealt = cut(dealt.select("bucket", F.col("to.block").alias("block"), F.col("to.turn").alias("turn"), "node", "component", "outsider", at_home.alias("resident"), in_turn.alias("asked")))
     ids = dealt.select("node").distinct()
     texts = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, "node")
     finer = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text").mapInArrow(_fine, "node long, fine binary").dropDuplicates(["node"])
     dealt = dealt.join(side.join(finer, "node"), "node")
-    dealt = dealt.select("bucket", "block", "node", "component", "n_shingles", "outsider", "resident", "sketch", "fine")
-    across = dealt.groupBy("bucket", "block").applyInArrow(_across(least, finest, rows), "a long, b long")
-    known = first.select("node", "component")
-    rest = _onto(_onto(candidates.select("a", "b").unionAll(across.select("a", "b")).distinct().withColumn("x", F.col("a")).withColumn("y", F.col("b")), "x", known), "y", known)
+    dealt = dealt.select("bucket", "block", "turn", "node", "component", "n_shingles", "outsider", "resident", "asked", "sketch", "fine")
+    across = cut(dealt.groupBy("bucket", "block", "turn").applyInArrow(_across(percent), "a long, b long, sure boolean"))
+    known = _merged(first, across.where("sure"))
+    sure = sure.unionAll(across.where("sure").select("a", "b"))
+    rest = candidates.where("members = 2").select("a", "b").unionAll(across.where("not sure").select("a", "b")).distinct().withColumn("x", F.col("a")).withColumn("y", F.col("b"))
+    rest = _onto(_onto(rest, "x", known), "y", known)
     rest = cut(rest.where("x <> y").select("a", "b").join(best, ["a", "b"], "left_anti"))
     more = cut(confirmed(docs, rest, percent))
-    all_links = sure.unionAll(more)
-    return all_links, components(all_links)
+    return sure.unionAll(more), _merged(known, more)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, blocks: int = BLOCK) -> DataFrame:

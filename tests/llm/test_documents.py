@@ -118,6 +118,39 @@ def test_near_duplicates(spark, corpus):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_near_duplicates_of_long_texts(spark):
+    """Sets that blocks don't hold, from copies to less than the threshold, beside short ones."""
+    rng = np.random.default_rng(13)
+    base = [f"v{x}" for x in rng.integers(10**6, size=near_dedup.LONG + 900)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for at in rng.choice(len(w), 20 * (i % 8 + 1), replace=False):
+            w[at] = f"c{i}"
+        rows.append((i, " ".join(w[: len(w) - 60 * (i % 5)]), "s"))
+    rows += [(100 + i, " ".join(base[: near_dedup.LONG - 500 * (i % 2)]), "s") for i in range(4)]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), blocks=4).collect()}
+    assert found == {i: c for i, _, c in brute_components(rows)}
+
+
+def test_near_duplicate_blocks_give_few_links(spark):
+    """In a bucket of many documents about as near as the threshold a block gives fewer links than rows."""
+    rng = np.random.default_rng(14)
+    base = [f"v{x}" for x in range(200)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for at in rng.choice(len(w), 4, replace=False):
+            w[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(w), "s"))
+    docs = frame(spark, rows)
+    signed = near_dedup.sketches(docs).select("doc_id", "n_shingles", "sketch").withColumnRenamed("doc_id", "node").cache()
+    all_links, _ = near_dedup.links(docs, signed, 80, blocks=64)
+    assert all_links.count() < 6 * len(rows)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 80, blocks=64).collect()}
+    assert found == {i: c for i, _, c in brute_components(rows, 80)}
+
+
 def test_near_duplicate_stage_keeps_one(spark, corpus):
     docs = frame(spark, corpus)
     kept = near_dedup.drop_near_duplicates(docs)
