@@ -171,14 +171,15 @@ _TURN_WORDS = (
 
 
 @query(
-    f"WITH w AS ({_TURN_WORDS}), z AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, a.word IS NOT DISTINCT FROM b.word AS same "
-    "FROM (SELECT * FROM w WHERE turn = 0) a FULL JOIN (SELECT * FROM w WHERE turn = 1) b ON a.conv_id = b.conv_id AND a.pos = b.pos) "
-    "SELECT conv_id, count(*) AS positions, count(*) FILTER (WHERE same) AS matching, bool_and(same) AS aligned FROM z GROUP BY conv_id"
+    f"WITH w AS ({_TURN_WORDS}), z AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, a.word IS NOT DISTINCT FROM b.word AS same "
+    "FROM w a FULL JOIN (SELECT conv_id, turn - 1 AS turn, pos, word FROM w) b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos = b.pos) "
+    "SELECT conv_id, turn, count(*) AS positions, count(*) FILTER (WHERE same) AS matching, bool_and(same) AS aligned FROM z WHERE turn >= 0 GROUP BY conv_id, turn"
 )
 def positional_zip_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with the next one of its conversation, word by word."""
     words = read(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("pos", "word"))
-    both = windows.zipped(words.where("turn = 0"), words.where("turn = 1"), ["conv_id", "pos"], "word", "word")
-    return windows.aligned(both, ["conv_id"])
+    both = windows.zipped(words, words.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn", "pos"], "word", "word")
+    return windows.aligned(both.where("turn >= 0"), ["conv_id", "turn"])
 
 
 # -- evaluation -------------------------------------------------------------------------------------
@@ -291,13 +292,13 @@ def sense_eval_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH m AS (SELECT user_id % 100 AS u, event_type, count(*) AS n FROM events WHERE event_id % 10 <> 0 GROUP BY ALL), "
-    "b AS (SELECT u, event_type AS predicted FROM m QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, event_type) = 1) "
-    "SELECT event_id, event_type, coalesce(predicted, 'NONE') AS predicted FROM events LEFT JOIN b ON user_id % 100 = u WHERE event_id % 10 = 0"
+    "WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), "
+    "b AS (SELECT user_id, event_type AS predicted FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1) "
+    "SELECT event_id, event_type, predicted FROM events JOIN b USING (user_id)"
 )
 def baseline_mfs(spark: SparkSession, folder: str) -> DataFrame:
-    events = read(spark, folder, "events").select("event_id", "event_type", (F.col("user_id") % 100).alias("u"))
-    return ev.baseline(events.where("event_id % 10 <> 0"), events.where("event_id % 10 = 0"), "u", "event_type").select("event_id", "event_type", "predicted")
+    events = read(spark, folder, "events").select("event_id", "event_type", "user_id")
+    return ev.baseline(events, events, "user_id", "event_type").select("event_id", "event_type", "predicted")
 
 
 @query("SELECT CAST(floor((c_acctbal + 1000) / 500) AS BIGINT) AS bin, round(avg(c_custkey), 6) AS average, count(*) AS n FROM customer GROUP BY bin")
@@ -313,10 +314,14 @@ def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return ev.histogram(read(spark, folder, "lineitem"), "l_extendedprice")
 
 
-@query()
+@query(
+    "WITH r AS (SELECT s_suppkey AS k, s_nationkey::VARCHAR AS grp, s_acctbal AS x, (s_suppkey % 17)::DOUBLE AS y FROM supplier), "
+    "p AS (SELECT a.grp, sign(a.x - b.x) * sign(a.y - b.y) AS s, (a.x <> b.x)::INT AS dx, (a.y <> b.y)::INT AS dy FROM r a JOIN r b ON a.grp = b.grp AND a.k < b.k), "
+    "t AS (SELECT grp, CASE WHEN sum(dx) * sum(dy) > 0 THEN round(sum(s) / sqrt(sum(dx) * sum(dy)), 9) END AS tau FROM p GROUP BY grp) SELECT grp, tau FROM (SELECT DISTINCT grp FROM r) LEFT JOIN t USING (grp)"
+)
 def kendall_tau(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "supplier").select(F.col("s_nationkey").cast("string").alias("grp"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 17).cast("double").alias("y"))
-    return ev.kendall_tau(rows, "grp", "x", "y").withColumn("tau", F.round("tau", 9))
+    return ev.kendall_tau(rows, "grp", "x", "y").withColumn("tau", F.when(~F.isnan("tau"), F.round("tau", 9)))
 
 
 # -- sequences --------------------------------------------------------------------------------------
@@ -563,14 +568,6 @@ def tree_paths(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("a", "b", trees.printed(F.col("path")).alias("path"))
 
 
-@query(
-    _UP.rstrip() + ", " + _PAIRS.rstrip() + ", " + _CATS + "SELECT path, count(*) AS freq FROM (SELECT coalesce(ups.t, '') || coalesce(downs.t, '') AS path FROM met LEFT JOIN ups USING (a, b) LEFT JOIN downs USING (a, b)) "
-    "GROUP BY path HAVING count(*) >= 5"
-)
-def path_freq_trie(spark: SparkSession, folder: str) -> DataFrame:
-    return tree_paths(spark, folder).groupBy("path").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 5")
-
-
 _WANTED = "want AS (SELECT 'O' || o_orderkey AS node_id FROM orders WHERE o_custkey % 3 <> 0 OR o_orderstatus = 'F')"
 
 
@@ -627,28 +624,11 @@ def pos_zip_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT page_id, replace(replace(replace(url, ',', 'COMMA'), ';', 'SEMICOLON'), ':', 'COLON') AS field, replace(replace(replace(url, '\"', 'QQUOT0'), '''', 'QQUOT1'), '`', 'QQUOT2') AS quoted, "
-    "replace(replace(replace(replace(replace(replace(substr(html, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '``', '&quot;'), '\"', '&apos;&apos;'), '''', '&apos;') AS xml FROM pages"
+    "SELECT page_id, replace(replace(replace(url, ',', 'COMMA'), ';', 'SEMICOLON'), ':', 'COLON') AS field, replace(replace(replace(url, '\"', 'QQUOT0'), '''''', 'QQUOT1'), '`', 'QQUOT2') AS quoted, "
+    "replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '``', '&quot;'), '\"', '&apos;&apos;'), '''''', '&apos;') AS xml FROM pages"
 )
 def scalar_escapes(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "pages").select(
-        "page_id", fn.escape_field(F.col("url")).alias("field"), fn.quote_literal(F.col("url")).alias("quoted"), fn.escape_xml(F.substring("html", 1, 60)).alias("xml")
-    )
-
-
-@query(
-    "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '``', '&quot;'), '\"', '&apos;&apos;'), '''', '&apos;') AS xml FROM pages"
-)
-def page_escapes(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole pages; scalar_escapes has the first 60 characters of each."""
-    return read(spark, folder, "pages").select("page_id", fn.escape_xml(F.col("html")).alias("xml"))
-
-
-@query("SELECT user_id, string_agg(event_type, ' ' ORDER BY c DESC, event_type) AS ranked FROM (SELECT user_id, event_type, round(max(value), 3) AS c FROM events GROUP BY ALL) GROUP BY user_id")
-def confidence_sort_join(spark: SparkSession, folder: str) -> DataFrame:
-    top = read(spark, folder, "events").groupBy("user_id", "event_type").agg(F.round(F.max("value"), 3).alias("c"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "event_type")))
-    return top.groupBy("user_id").agg(F.array_join(F.transform(ranked, lambda x: x["event_type"]), " ").alias("ranked"))
+    return read(spark, folder, "pages").select("page_id", fn.escape_field(F.col("url")).alias("field"), fn.quote_literal(F.col("url")).alias("quoted"), fn.escape_xml(F.col("html")).alias("xml"))
 
 
 @query(

@@ -46,6 +46,6 @@ def test_entry_and_names(spark):
 
 def test_pages_are_escaped_to_their_end(spark, tmp_path):
     html = "x" * 60 + "a & <b> \"c\" 'd' ``e``"
-    spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    found = dict(map(tuple, plans.QUERIES["page_escapes"](spark, str(tmp_path)).collect()))
+    spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: r["xml"] for r in plans.QUERIES["scalar_escapes"](spark, str(tmp_path)).collect()}
     assert found == {1: "x" * 60 + "a &amp; &lt;b&gt; &apos;&apos;c&apos;&apos; &apos;d&apos; &quot;e&quot;", 2: None}
