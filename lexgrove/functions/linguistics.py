@@ -191,13 +191,28 @@ def dependencies(functions: DataFrame, head_of: DataFrame) -> DataFrame:
     return functions.join(a, ["sent_id", "anchor_id"]).join(b, ["sent_id", "node_id"]).where("head_id <> dependent_id").select("sent_id", "head_id", F.col("gf").alias("relation"), "dependent_id").distinct()
 
 
+#: Phrases with a content of their own, and the tags that its head has by choice.
+CONTENT = {
+    "en": {"SBAR": "^VB", "VP": "^VB", "PP": "^NN"},
+    "de": {"S": "^V", "CS": "^V", "VP": "^V", "CVP": "^V", "PP": "^N", "CPP": "^N"},
+}
+
+
 def informative_content(nodes: DataFrame, edges: DataFrame, head_of: DataFrame, language: str = "en") -> DataFrame:
-    """(sent_id, node_id, content_id): in prepositional and clausal phrases the head of the last other child."""
-    named = with_categories(nodes, language).where("category in ('prep', 'sent', 'verb')").select("sent_id", F.col("node_id").alias("parent_id"))
-    heads_ = head_of.select("sent_id", F.col("node_id").alias("child_id"), F.col("head_id").alias("c_head"))
-    own = head_of.select("sent_id", F.col("node_id").alias("parent_id"), "head_id")
-    children = edges.join(named, ["sent_id", "parent_id"], "left_semi").join(heads_, ["sent_id", "child_id"]).join(own, ["sent_id", "parent_id"]).where("c_head <> head_id")
-    return children.groupBy("sent_id", F.col("parent_id").alias("node_id")).agg(F.max_by("c_head", "child_ord").alias("content_id"))
+    """(sent_id, node_id, content_id): the head of a phrase's content, for the phrases of CONTENT.
+
+    Content is the only child with another head lemma than the phrase's; of several the first
+    whose head has the phrase's tag, or else the first.
+    """
+    tags = F.create_map(*[F.lit(x) for pair in CONTENT[language].items() for x in pair])
+    lemma = nodes.select("sent_id", F.col("node_id").alias("head_id"), lemma_or_word(F.col("lemma"), F.col("word")).alias("head_lemma"), F.col("pos").alias("head_pos"))
+    heads_ = head_of.select("sent_id", "node_id", "head_id").join(lemma, ["sent_id", "head_id"])
+    own = with_categories(nodes, language).where(F.col("simple_pt").isin(*CONTENT[language])).select("sent_id", "node_id", tags[F.col("simple_pt")].alias("tag"))
+    own = own.join(heads_.select("sent_id", "node_id", F.col("head_lemma").alias("own_lemma")), ["sent_id", "node_id"]).withColumnRenamed("node_id", "parent_id")
+    children = edges.select("sent_id", "parent_id", "child_id", "child_ord").join(heads_.withColumnRenamed("node_id", "child_id"), ["sent_id", "child_id"])
+    others = children.join(own, ["sent_id", "parent_id"]).where(~F.col("head_lemma").eqNullSafe(F.col("own_lemma")))
+    place = F.struct((~F.coalesce(F.expr("head_pos rlike tag"), F.lit(False))).alias("other"), "child_ord", "child_id")
+    return others.groupBy("sent_id", F.col("parent_id").alias("node_id")).agg(F.min_by("head_id", place).alias("content_id"))
 
 
 def merged_particles(targets: DataFrame, particles: DataFrame, language: str = "en") -> DataFrame:

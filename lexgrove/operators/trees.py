@@ -157,6 +157,21 @@ def prune(up: Column, down: Column, through_pp: Column, conjunction_between: Col
     return F.when(reached & keep, 1).otherwise(0)
 
 
+def conjunction_between(rows: DataFrame, keys: list[str], name: str = "conjunction") -> DataFrame:
+    """rows with a boolean: whether a coordinating sister lies between the node and a sister nearer to the target.
+
+    rows: keys (of sentence and target), b, parent, category, node_low, node_high and path_length.
+    """
+    sister = F.struct(F.col("b").alias("id"), F.col("node_low").alias("low"), F.col("node_high").alias("high"), F.col("path_length").alias("steps"), (F.col("category") == "con").alias("con"))
+    sisters = rows.where("parent is not null").groupBy(*keys, "parent").agg(F.collect_set(sister).alias("_sisters")).where(F.exists("_sisters", lambda s: s["con"]))
+    joined = rows.join(sisters, [*keys, "parent"], "left")
+    nearer = lambda s: (s["id"] != F.col("b")) & (s["steps"] < F.col("path_length"))
+    left = lambda c: (c["low"] < F.col("node_low")) & (c["high"] < F.col("node_high")) & F.exists("_sisters", lambda s: nearer(s) & (s["low"] < c["low"]) & (s["high"] < c["high"]))
+    right = lambda c: (c["low"] > F.col("node_low")) & (c["high"] > F.col("node_high")) & F.exists("_sisters", lambda s: nearer(s) & (s["low"] > c["low"]) & (s["high"] > c["high"]))
+    found = F.exists("_sisters", lambda c: c["con"] & (c["id"] != F.col("b")) & (left(c) | right(c)))
+    return joined.withColumn(name, F.coalesce(found, F.lit(False))).drop("_sisters")
+
+
 def relative_position(rows: DataFrame) -> DataFrame:
     """rows (node_low, node_high, anchor_low, anchor_high) with relpos: LEFT, RIGHT or DOM."""
     return rows.withColumn("relpos", F.when(F.col("node_high") < F.col("anchor_low"), "LEFT").when(F.col("node_low") > F.col("anchor_high"), "RIGHT").otherwise("DOM"))

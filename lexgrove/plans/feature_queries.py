@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 from lexgrove.operators import induction, learners
 from lexgrove.plans import sense_features as sense
 from lexgrove.plans.queries import query, read
+from lexgrove.plans import role_features
 from lexgrove.sources import stxml, tabular
+from lexgrove.sources.shared import shared_folder
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- senses -----------------------------------------------------------------------------------------
@@ -208,3 +208,87 @@ def tab_file_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     lines.coalesce(1).sortWithinPartitions("c_nationkey", F.col("c_custkey").asc_nulls_last()).select("value").write.text(path)
     found = tabular.frame_slices(tabular.parsed(tabular.sentences(tabular.lines(spark, f"{path}/*.txt"))))
     return found.select("sent_no", "pos", "word", "role", "sent_id")
+
+
+# -- roles ------------------------------------------------------------------------------------------
+
+#: Two sentences: nodes as (id, word or column, lemma, tag or category, parent, label, place); a mark of two letters names the shape.
+_SHAPES = {
+    "active": (
+        ("500", None, None, "S", None, None, 0), ("501", None, None, "NP", "500", "SBJ", 0), ("1", "c_name", "customer", "NN", "501", "HD", 0), ("502", None, None, "VP", "500", "HD", 1),
+        ("2", "buys", "buy", "VBZ", "502", "HD", 0), ("503", None, None, "NP", "502", "OBJ", 1), ("3", "c_mktsegment", "goods", "NN", "503", "HD", 0), ("504", None, None, "PP", "502", "MOD", 2),
+        ("4", "in", "in", "IN", "504", "HD", 0), ("505", None, None, "NP", "504", "NK", 1), ("5", "Rome", "Rome", "NNP", "505", "HD", 0), ("6", ".", ".", ".", "500", "PUNC", 2),
+    ),
+    "passive": (
+        ("500", None, None, "S", None, None, 0), ("501", None, None, "NP", "500", "SBJ", 0), ("1", "c_mktsegment", "goods", "NN", "501", "HD", 0), ("502", None, None, "VP", "500", "HD", 1),
+        ("2", "was", "be", "VBD", "502", "HD", 0), ("503", None, None, "VP", "502", "OC", 1), ("3", "bought", "buy", "VBN", "503", "HD", 0), ("504", None, None, "PP", "503", "LGS", 1),
+        ("4", "by", "by", "IN", "504", "HD", 0), ("505", None, None, "NP", "504", "NK", 1), ("5", "c_name", "customer", "NN", "505", "HD", 0), ("6", ".", ".", ".", "500", "PUNC", 2),
+    ),
+}
+_TARGET = {"active": "2", "passive": "3"}
+_ELEMENTS = {"active": (("Buyer", "501"), ("Goods", "503")), "passive": (("Goods", "501"), ("Buyer", "504"))}
+
+
+def _treebank(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """A sentence for each customer, passive for debts, with one frame."""
+    customers = read(spark, folder, "customer").withColumn("shape", F.when(F.col("c_acctbal") < 0, "passive").otherwise("active")).withColumn("sent_id", F.concat(F.lit("c"), "c_custkey"))
+    kinds = [(shape, *n, int(n[0]) if n[1] else None) for shape, nodes in _SHAPES.items() for n in nodes]
+    shapes = spark.createDataFrame(kinds, "shape string, id string, text string, lemma string, tag string, up string, label string, child_ord int, term_ord int")
+    rows = customers.join(F.broadcast(shapes), "shape")
+    word = F.when(F.col("text") == "c_name", F.col("c_name")).when(F.col("text") == "c_mktsegment", F.col("c_mktsegment")).otherwise(F.col("text"))
+    named = lambda c: F.concat_ws("_", "sent_id", c)
+    leaf, none = F.col("text").isNotNull(), F.lit(None).cast("string")
+    nodes = rows.select(
+        "sent_id", named("id").alias("node_id"), F.when(leaf, "t").otherwise("nt").alias("kind"), F.when(~leaf, F.col("tag")).alias("cat"), F.when(leaf, F.col("tag")).alias("pos"),
+        word.alias("word"), "lemma", none.alias("head"), none.alias("morph"), "term_ord", F.lit(None).cast("int").alias("split_ord"), F.coalesce(F.col("tag") == ".", F.lit(False)).alias("is_punct"),
+    )
+    edges = rows.where("up is not null").select("sent_id", named("up").alias("parent_id"), named("id").alias("child_id"), "label", "child_ord", F.lit(True).alias("is_tree"))
+    frame_id = F.concat("sent_id", F.lit("_f1"))
+    elements = [(shape, "target", _TARGET[shape], True, -1) for shape in _SHAPES] + [(shape, name, node, False, i) for shape, own in _ELEMENTS.items() for i, (name, node) in enumerate(own)]
+    every = customers.join(F.broadcast(spark.createDataFrame(elements, "shape string, name string, node string, is_target boolean, fe_ord int")), "shape").withColumn("fe_id", F.concat("sent_id", F.lit("_f1_"), "name"))
+    return {
+        "syn_node": nodes,
+        "syn_edge": edges,
+        "frame": customers.select("sent_id", frame_id.alias("frame_id"), F.lit("Commerce").alias("name"), F.lit(0).alias("frame_ord")),
+        "fe": every.select("sent_id", frame_id.alias("frame_id"), "fe_id", "name", "is_target", none.alias("lemma"), none.alias("pos"), "fe_ord"),
+        "fe_node": every.select("sent_id", "fe_id", named("node").alias("node_id"), F.lit(0).alias("ord")),
+    }
+
+
+#: Shape, node and ROLE_FEATURES of the nodes of both shapes, recorded and then checked by hand against the rules; a dash is no value.
+ROLE_FEATURES = ("path", "pt_path", "gf_path", "combined_path", "partial_path", "path_length", "ancestor_rule", "relpos", "pt", "gf", "father_pt", "prep", "icont_lemma", "icont_pos", "firstword", "firstword_pos", "lastword_pos", "leftsib_pt", "leftsib_lemma", "rightsib_pt", "rightsib_lemma", "ismaxproj", "prune", "gold", "term", "target_voice", "finegrained_target_pos")
+_EXPECTED = (
+    "active|1|U HD VP U HD S D SBJ NP D HD |U VP U S D NP D |U HD U HD D SBJ D HD |HD VP HD S SBJ NP HD --verb--active|D SBJ NP D HD |4|S -> NP VP .|LEFT|NN|-|NP|-|-|-|customer|NN|NN|-|-|-|-|0|0|-|1|acti|VBZ",
+    "active|2|-|-|-|-|-|0|-|DOM|VBZ|-|VP|-|-|-|buy|VBZ|VBZ|-|-|NP|goods|0|1|-|1|acti|VBZ",
+    "active|3|U HD VP D OBJ NP D HD |U VP D NP D |U HD D OBJ D HD |HD VP OBJ NP HD --verb--active|D OBJ NP D HD |3|VP -> VBZ NP PP|RIGHT|NN|-|NP|-|-|-|goods|NN|NN|-|-|-|-|0|0|-|1|acti|VBZ",
+    "active|4|U HD VP D MOD PP D HD |U VP D PP D |U HD D MOD D HD |HD VP MOD PP HD --verb--active|D MOD PP D HD |3|VP -> VBZ NP PP|RIGHT|IN|-|PP|in|-|-|in|IN|IN|-|-|NP|Rome|0|1|-|1|acti|VBZ",
+    "active|5|U HD VP D MOD PP D NK NP D HD |U VP D PP D NP D |U HD D MOD D NK D HD |HD VP MOD PP NK NP HD --verb--active|D MOD PP D NK NP D HD |4|VP -> VBZ NP PP|RIGHT|NNP|-|NP|-|-|-|Rome|NNP|NNP|-|-|-|-|0|0|-|1|acti|VBZ",
+    "active|500|U HD VP U HD |U VP U |U HD U HD |HD VP HD --verb--active|-|2|S -> NP VP .|DOM|S|-|-|-|-|-|customer|NN|NNP|-|-|-|-|1|0|-|0|acti|VBZ",
+    "active|501|U HD VP U HD S D SBJ |U VP U S D |U HD U HD D SBJ |HD VP HD S SBJ --verb--active|D SBJ |3|S -> NP VP .|LEFT|NP|SB|S|-|-|-|customer|NN|NN|-|-|VP|buy|1|1|Buyer|0|acti|VBZ",
+    "active|502|U HD |U |U HD |HD --verb--active|-|1|VP -> VBZ NP PP|DOM|VP|-|S|-|goods|NN|buy|VBZ|NNP|NP|customer|-|-|1|0|-|0|acti|VBZ",
+    "active|503|U HD VP D OBJ |U VP D |U HD D OBJ |HD VP OBJ --verb--active|D OBJ |2|VP -> VBZ NP PP|RIGHT|NP|OA|VP|-|-|-|goods|NN|NN|VBZ|buy|PP|in|1|1|Goods|0|acti|VBZ",
+    "active|504|U HD VP D MOD |U VP D |U HD D MOD |HD VP MOD --verb--active|D MOD |2|VP -> VBZ NP PP|RIGHT|PP|MO-in|VP|in|Rome|NNP|in|IN|NNP|NP|goods|-|-|1|1|-|0|acti|VBZ",
+    "active|505|U HD VP D MOD PP D NK |U VP D PP D |U HD D MOD D NK |HD VP MOD PP NK --verb--active|D MOD PP D NK |3|VP -> VBZ NP PP|RIGHT|NP|-|PP|-|-|-|Rome|NNP|NNP|IN|in|-|-|1|1|-|0|acti|VBZ",
+    "passive|1|U HD VP U OC VP U HD S D SBJ NP D HD |U VP U VP U S D NP D |U HD U OC U HD D SBJ D HD |HD VP OC VP HD S SBJ NP HD --verb--passive|D SBJ NP D HD |5|S -> NP VP .|LEFT|NN|-|NP|-|-|-|goods|NN|NN|-|-|-|-|0|0|-|1|pass|VBN",
+    "passive|2|U HD VP U OC VP D HD |U VP U VP D |U HD U OC D HD |HD VP OC VP HD --verb--passive|D HD |3|VP -> VBD VP|LEFT|VBD|-|VP|-|-|-|be|VBD|VBD|-|-|VP|buy|0|1|-|1|pass|VBN",
+    "passive|3|-|-|-|-|-|0|-|DOM|VBN|-|VP|-|-|-|buy|VBN|VBN|-|-|PP|by|0|1|-|1|pass|VBN",
+    "passive|4|U HD VP D LGS PP D HD |U VP D PP D |U HD D LGS D HD |HD VP LGS PP HD --verb--passive|D LGS PP D HD |3|VP -> VBN PP|RIGHT|IN|-|PP|by|-|-|by|IN|IN|-|-|NP|customer|0|1|-|1|pass|VBN",
+    "passive|5|U HD VP D LGS PP D NK NP D HD |U VP D PP D NP D |U HD D LGS D NK D HD |HD VP LGS PP NK NP HD --verb--passive|D LGS PP D NK NP D HD |4|VP -> VBN PP|RIGHT|NN|-|NP|-|-|-|customer|NN|NN|-|-|-|-|0|0|-|1|pass|VBN",
+    "passive|500|U HD VP U OC VP U HD |U VP U VP U |U HD U OC U HD |HD VP OC VP HD --verb--passive|-|3|S -> NP VP .|DOM|S|-|-|-|-|-|goods|NN|NN|-|-|-|-|1|0|-|0|pass|VBN",
+    "passive|501|U HD VP U OC VP U HD S D SBJ |U VP U VP U S D |U HD U OC U HD D SBJ |HD VP OC VP HD S SBJ --verb--passive|D SBJ |4|S -> NP VP .|LEFT|NP|OA|S|-|-|-|goods|NN|NN|-|-|VP|buy|1|1|Goods|0|pass|VBN",
+    "passive|502|U HD VP U OC |U VP U |U HD U OC |HD VP OC --verb--passive|-|2|VP -> VBD VP|DOM|VP|-|S|-|be|VBD|be|VBD|NN|NP|goods|-|-|1|0|-|0|pass|VBN",
+    "passive|503|U HD |U |U HD |HD --verb--passive|-|1|VP -> VBN PP|DOM|VP|-|VP|-|by|IN|buy|VBN|NN|VBD|be|-|-|0|0|-|0|pass|VBN",
+    "passive|504|U HD VP D LGS |U VP D |U HD D LGS |HD VP LGS --verb--passive|D LGS |2|VP -> VBN PP|RIGHT|PP|SB|VP|by|customer|NN|by|IN|NN|VBN|buy|-|-|1|1|Buyer|0|pass|VBN",
+    "passive|505|U HD VP D LGS PP D NK |U VP D PP D |U HD D LGS D NK |HD VP LGS PP NK --verb--passive|D LGS PP D NK |3|VP -> VBN PP|RIGHT|NP|-|PP|-|-|-|customer|NN|NN|IN|by|-|-|1|1|-|0|pass|VBN",
+)
+_EXPECTED_SQL = ", ".join("(" + ", ".join("'" + x + "'" for x in row.split("|")) + ")" for row in _EXPECTED)
+
+
+@query(
+    f"WITH e(shape, node, {', '.join(ROLE_FEATURES)}) AS (VALUES {_EXPECTED_SQL}) SELECT 'c' || c_custkey || '_' || node AS node_id, 'Commerce' AS frame, 'buy' AS target, {', '.join(ROLE_FEATURES)} "
+    "FROM customer JOIN e ON e.shape = CASE WHEN c_acctbal < 0 THEN 'passive' ELSE 'active' END"
+)
+def role_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Role features of every node but marks, by the text of their values."""
+    rows = role_features.build(_treebank(spark, folder), height=8).where("pt <> '.'")
+    return rows.select(F.element_at(F.split("nodeID", " "), 1).alias("node_id"), "frame", "target", *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in ROLE_FEATURES])

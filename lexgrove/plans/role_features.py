@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import linguistics as lx
 from lexgrove.operators import trees, windows
+from lexgrove.sources.shared import cut
 
 NOVAL = "NONE"
 #: Columns in the order of the table; those of ADMIN, and gold, are no model features.
@@ -29,12 +30,12 @@ def _joined(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
 def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> DataFrame:
     """The feature table of sentence tables (see sources.stxml), both phases; real nulls stand for no value."""
     nodes = lx.with_categories(t["syn_node"].where("kind <> 'part'"), language)
-    nodes = nodes.withColumn("lemma_", lx.lemma_or_word(F.col("lemma"), F.col("word")))
-    edges = t["syn_edge"].where("is_tree")
-    up = trees.closure(edges, height).persist()
-    below = trees.node_yield(nodes, up)
-    bounds = trees.first_and_last(below, nodes.where("kind = 't'"))
-    head_of = lx.heads(nodes, edges, below, up, language)
+    nodes = cut(nodes.withColumn("lemma_", lx.lemma_or_word(F.col("lemma"), F.col("word"))))
+    edges = cut(t["syn_edge"].where("is_tree"))
+    up = cut(trees.closure(edges, height))
+    below = cut(trees.node_yield(nodes, up))
+    bounds = cut(trees.first_and_last(below, nodes.where("kind = 't'")))
+    head_of = cut(lx.heads(nodes, edges, below, up, language))
     labelled = nodes.withColumn("cat", F.col("simple_pt"))
 
     # one target node a frame: the main terminal of its target
@@ -47,7 +48,7 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> Da
     verb_heads = verb_heads.join(nodes.where("category = 'verb'").select("sent_id", F.col("node_id").alias("gv"), F.col("lemma_").alias("gov_verb")), ["sent_id", "gv"])
     own = nodes.select("sent_id", "node_id", F.col("lemma_").alias("own_lemma"))
     governing = verb_heads.join(own, ["sent_id", "node_id"]).where("gov_verb <> own_lemma").groupBy("sent_id", F.col("node_id").alias("a")).agg(F.min_by(F.struct("gv", "gov_verb"), "depth").alias("g")).select("sent_id", "a", "g.*")
-    frames = reduce(lambda rows, other: _joined(rows, other, "sent_id", "a"), (fine, voice, governing), frames)
+    frames = cut(reduce(lambda rows, other: _joined(rows, other, "sent_id", "a"), (fine, voice, governing), frames))
 
     rows = frames.join(nodes.select("sent_id", F.col("node_id").alias("b"), F.col("simple_pt").alias("pt"), "kind", "category"), "sent_id")
     found = trees.paths(rows.select("sent_id", "a", "b").distinct(), labelled, edges, up).select("sent_id", "a", "b", "path", "lca", "up_steps", "down_steps")
@@ -60,6 +61,7 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> Da
         source = F.col("gp") if "gvpath" in name else trees.down_part(F.col("p")) if "partial" in name else F.col("p")
         text = trees.printed(source, *parts, cutoff=True)
         rows = rows.withColumn(name, F.concat(text, ending) if "combined" in name else text)
+    rows = cut(rows)
     rows = rows.withColumn("path_length", F.size("p")).withColumn("path_length", F.when(F.col("p").isNotNull(), F.col("path_length")))
 
     parents = edges.select("sent_id", F.col("child_id").alias("b"), F.col("parent_id").alias("parent"))
@@ -91,11 +93,13 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> Da
         near = _joined(near, head_of.select("sent_id", F.col("node_id").alias(f"{side}_id"), F.col("head_id").alias("_h")), "sent_id", f"{side}_id")
         near = _joined(near, nodes.select("sent_id", F.col("node_id").alias("_h"), F.col("lemma_").alias(f"{side}sib_lemma")), "sent_id", "_h").drop("_h")
         rows = _joined(rows, near, "sent_id", f"{side}_id")
+    rows = cut(rows)
     functions = lx.english_verb_functions(rows.select("sent_id", "a", "b", "category", F.col("pt_path").alias("path"), "relpos", "voice", "prep")) if language == "en" else lx.edge_functions(edges).select("sent_id", F.col("anchor_id").alias("a"), F.col("node_id").alias("b"), "gf")
     functions = functions.where("gf is not null").groupBy("sent_id", "a", "b").agg(F.min("gf").alias("gf"))
     rows = _joined(rows, functions, "sent_id", "a", "b")
     through_pp = F.col("father_category") == "prep"
-    rows = rows.withColumn("prune", trees.prune(F.col("up_steps"), F.col("down_steps"), through_pp, F.lit(False)))
+    rows = trees.conjunction_between(rows, ["sent_id", "frame_id", "a"])
+    rows = rows.withColumn("prune", trees.prune(F.col("up_steps"), F.col("down_steps"), through_pp, F.col("conjunction")))
     elements = t["fe_node"].join(t["fe"].where("not is_target"), ["sent_id", "fe_id"])
     gold = elements.groupBy("sent_id", "frame_id", F.col("node_id").alias("b")).agg(F.min_by("name", "fe_ord").alias("gold"))
     rows = _joined(rows, gold, "sent_id", "frame_id", "b")
