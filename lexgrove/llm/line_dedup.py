@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, folded, session_for, shuffle_partitions, unfolded
+from lexgrove.llm.scratch import cut_in_order, folded, session_for, shuffle_partitions, unfolded
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -138,8 +138,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     last line that goes; lines beyond stay.
     """
     spark = session_for(docs)
-    lines = cut(_prints(docs).where("doc_id is not null").mapInArrow(_hash_lines(min_chars), _LINES))
-    swept = cut(
+    lines = cut_in_order(_prints(docs).where("doc_id is not null").mapInArrow(_hash_lines(min_chars), _LINES))
+    swept = cut_in_order(
         lines.repartitionByRange(shuffle_partitions(spark), F.col("h1"), F.col("h2"), F.col("doc_id").desc())
         .sortWithinPartitions(F.col("h1"), F.col("h2"), F.col("doc_id").desc(), "line")
         .mapInArrow(_sweep(min_docs), _SWEPT)
