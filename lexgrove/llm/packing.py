@@ -35,33 +35,27 @@ from lexgrove.llm.textcols import slices
 
 LENGTH = 2048
 END_ID = 0
-#: Bytes of the store of known parts in a worker, about; it is emptied when full.
-KEPT = 48 << 20
-#: Characters of a part that is kept at most; longer ones are encoded each time.
-PART = 64
 
 #: Letters, digits and marks whose Unicode classes have not changed, and the public
 #: pre-tokenization pattern of byte-level BPE vocabularies.
 _MARKS = "!-~¡-ɏ"
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A pre-token begins at any single space between two marks, so texts may be cut there.
-_CUT = re.compile(rf"(?<=[{_MARKS}])(?= [{_MARKS}])")
-_JOINABLE = re.compile(rf" [{_MARKS}](?:[ \n{_MARKS}]*[{_MARKS}])?")
+#: Texts of these alone are cut to pre-tokens alike by both encoders.
+_PLAIN = re.compile(rf"[ \n{_MARKS}]*")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; equal to the tokenizer's own.
 
-    Texts are cut where a pre-token must begin, and the ids of parts are kept. New parts go to
-    the tokenizer; if it is plain byte-level BPE with ids in the order of merges, those of common
-    marks go, on end, to a faster encoder of the same vocabulary, whose ids are cut by bytes.
+    If the tokenizer is plain byte-level BPE with ids in the order of merges, texts of common
+    marks go to a faster encoder of the same vocabulary; all others to the tokenizer itself.
     """
 
-    def __init__(self, path: str, kept: int = KEPT) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known, self.bytes = Tokenizer.from_file(path), kept, {}, 0
+        self.tokenizer = Tokenizer.from_file(path)
         self.fast, self.special = None, ()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -79,44 +73,17 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.sizes[i] = len(token)
         self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _learn(self, new: list[str]) -> None:
-        if self.fast is not None:
-            joined = list(filter(_JOINABLE.fullmatch, new))
-            if any(x in p for p in ("".join(joined),) for x in self.special):
-                joined = [p for p in joined if not any(x in p for x in self.special)]
-            new = list(set(new).difference(joined))
-            if joined:
-                ids = np.array(self.fast.encode_ordinary("".join(joined)), "<u4")
-                bounds = np.cumsum([len(p.encode()) for p in joined])
-                ends = np.cumsum(self.sizes[ids])
-                to = np.searchsorted(ends, bounds) + 1
-                if not np.array_equal(ends[to - 1], bounds):
-                    raise AssertionError("a pre-token crossed a cut")
-                data, edges = ids.tobytes(), (4 * to).tolist()
-                for p, a, b in zip(joined, [0, *edges], edges, strict=False):
-                    self.known[p] = data[a:b]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def _direct(self, text: str) -> bool:
+        return self.fast is not None and _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.bytes > self.kept:
-            self.known, self.bytes = {}, 0
-        parts = [_CUT.split(t) for t in texts]
-        found = [list(map(self.known.get, own)) for own in parts]
-        if new := {p for own, ids in zip(parts, found, strict=True) if None in ids for p, i in zip(own, ids, strict=True) if i is None}:
-            self._learn(list(new))
-            found = [list(map(self.known.get, own)) if None in ids else ids for own, ids in zip(parts, found, strict=True)]
-            for p in new:
-                if len(p) > PART:
-                    del self.known[p]
-                else:  # both objects with their heads and an entry of the table
-                    self.bytes += 250 + 2 * len(p) + len(self.known[p])
-        return [b"".join(ids) for ids in found]
+        out = [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() if self._direct(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
