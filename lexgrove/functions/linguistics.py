@@ -128,7 +128,7 @@ GERMAN_HEADS = {
 }
 
 
-def heads(nodes: DataFrame, edges: DataFrame, node_yield: DataFrame, ancestors: DataFrame, language: str = "en", height: int = 64) -> DataFrame:
+def heads(nodes: DataFrame, edges: DataFrame, node_yield: DataFrame, ancestors: DataFrame, language: str = "en", height: int | None = None) -> DataFrame:
     """(sent_id, node_id, head_id): the head terminal of each node.
 
     The head attribute of a node names a word of its yield; otherwise a German phrase is headed

@@ -139,6 +139,25 @@ class Catalog:
     def drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
 
+    def drop_column(self, table: str, column: str) -> DataFrame:
+        """The table without a column, written anew; its index and missing columns raise."""
+        rows = self.open(table)
+        if column == INDEX or column not in rows.columns:
+            raise ValueError(f"{table} has no column {column} that can go")
+        spare = f"{table}_without_{column}"
+        rows.drop(column).write.mode("overwrite").saveAsTable(self._name(spare))
+        self.drop(table)
+        self.spark.sql(f"ALTER TABLE {self._name(spare)} RENAME TO {self._name(table)}")
+        return self.open(table)
+
+    def make_temporary(self, table: str, rows: DataFrame) -> DataFrame:
+        """A named view that lasts as long as the session."""
+        rows.createOrReplaceTempView(table)
+        return self.spark.table(table)
+
+    def drop_temporary(self, table: str) -> bool:
+        return self.spark.catalog.dropTempView(table)
+
     def tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 

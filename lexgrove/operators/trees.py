@@ -9,25 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_DOUBLINGS = 16
+from lexgrove.sources.shared import cut
+
+#: Beyond this height edges are taken for a cycle, and raise.
+MOST_HEIGHT = 1 << 16
 
 
 def closure(edges: DataFrame, height: int | None = None) -> DataFrame:
     """(sent_id, node_id, ancestor_id, depth) of every node and proper ancestor.
 
-    height: a bound on the tree's height; without it doubling goes on until nothing is added.
+    height: a bound on the tree's height that the caller knows; without it doubling goes on, a
+    table a step, until nothing is added.
     """
     step = edges.select("sent_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
     known, reach = step, 1
-    for _ in range(MOST_DOUBLINGS):
-        if height is not None and reach >= height:
-            break
+    while height is None or reach < height:
+        if reach >= MOST_HEIGHT:
+            raise ValueError(f"no tree is higher than {MOST_HEIGHT}: the edges hold a cycle")
         # paths of up to reach steps, extended by those of exactly reach steps
         tail = known.select("sent_id", F.col("node_id").alias("_mid"), F.col("ancestor_id").alias("_top"), F.col("depth").alias("_more"))
         far = known.where(F.col("depth") == reach)
         longer = far.join(tail, (far["sent_id"] == tail["sent_id"]) & (far["ancestor_id"] == tail["_mid"])).select(far["sent_id"], "node_id", F.col("_top").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
-        if height is None and longer.isEmpty():
-            break
+        if height is None:
+            longer = cut(longer)
+            if longer.isEmpty():
+                break
         known, reach = known.unionAll(longer), reach * 2
     return known
 
@@ -91,6 +97,16 @@ def chains(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFram
     return found.select("sent_id", "node_id", "ancestor_id", up.cast(f"array<{_STEP}>").alias("up"), down.cast(f"array<{_STEP}>").alias("down"))
 
 
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sent_id, node_id, neighbour_id, path): parent and children of each node, with a path of one step."""
+    cats = nodes.select("sent_id", F.col("node_id").alias("neighbour_id"), "cat")
+    up = edges.select("sent_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("neighbour_id"), F.lit("U").alias("dir"), "label")
+    down = edges.select("sent_id", F.col("parent_id").alias("node_id"), F.col("child_id").alias("neighbour_id"), F.lit("D").alias("dir"), "label")
+    step = F.struct("dir", F.col("label").alias("gf"), F.col("cat").alias("pt"), F.col("neighbour_id").alias("node_id"))
+    found = up.unionAll(down).join(cats, ["sent_id", "neighbour_id"])
+    return found.select("sent_id", "node_id", "neighbour_id", F.array(step).cast(f"array<{_STEP}>").alias("path"))
+
+
 def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
     """pairs (sent_id, a, b) with path, lca, up_steps, down_steps; pairs without a path are left out."""
     met = lowest_common(pairs, with_self(nodes, ancestors))

@@ -27,7 +27,7 @@ def _joined(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
     return rows.join(other, list(keys), "left")
 
 
-def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> DataFrame:
+def build(t: dict[str, DataFrame], language: str = "en", height: int | None = None) -> DataFrame:
     """The feature table of sentence tables (see sources.stxml), both phases; real nulls stand for no value."""
     nodes = lx.with_categories(t["syn_node"].where("kind <> 'part'"), language)
     nodes = cut(nodes.withColumn("lemma_", lx.lemma_or_word(F.col("lemma"), F.col("word"))))
@@ -35,7 +35,7 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int = 64) -> Da
     up = cut(trees.closure(edges, height))
     below = cut(trees.node_yield(nodes, up))
     bounds = cut(trees.first_and_last(below, nodes.where("kind = 't'")))
-    head_of = cut(lx.heads(nodes, edges, below, up, language))
+    head_of = cut(lx.heads(nodes, edges, below, up, language, height))
     labelled = nodes.withColumn("cat", F.col("simple_pt"))
 
     # one target node a frame: the main terminal of its target
