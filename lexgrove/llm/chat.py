@@ -7,7 +7,7 @@ counts over all of them with add-one smoothing. Viterbi then recovers the roles
 conversation from the features alone.
 
 Turns are sorted over ranges of (conv_id, turn), so a conversation of any length spreads over
-many tasks. Best-path scores compose: each task reduces its part of a conversation to a
+many tasks; texts are shuffled this once. Best-path scores compose: each task reduces its part of a conversation to a
 matrix of best scores between the states before and at its end; the matrices of a conversation
 that several tasks share, one a task, are chained, and each task then traces its own part
 between the states so fixed. The result equals one Viterbi pass over the whole conversation.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.scratch import cut, cut_in_order, session_for, shuffle_partitions
+from lexgrove.llm.scratch import cut_in_order, session_for, shuffle_partitions
 
 #: Markers of speakers, by the role that they usually stand for.
 MARKERS = {
@@ -67,9 +67,10 @@ _COLUMNS = "conv_id long, turn long, role string, text string"
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All features but the place at the start, which needs the rows in order."""
     for rows in batches:
-        found = [features(t if isinstance(t, str) else None, bool(f)) for t, f in zip(rows["text"], rows["first"], strict=True)]
-        yield rows.assign(features=[" ".join(map(str, x)) for x in found])[["conv_id", "turn", "role", "text", "features"]]
+        found = [features(t if isinstance(t, str) else None, False)[:-1] for t in rows["text"]]
+        yield rows.assign(features=[" ".join(map(str, x)) for x in found])
 
 
 class Chain:
@@ -114,21 +115,40 @@ def fit(rows: DataFrame) -> Chain | None:
     return Chain(sorted({r for r, _ in seen}), start, step, seen)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
-    """Runs of one conversation in a task: its id and rows (turn, text, features)."""
+def _segments(batches: Iterator[pa.RecordBatch], least: dict, other: str = "text") -> Iterator[tuple[object, list]]:
+    """Runs of one conversation in a task: its id and rows (turn, other, features), with the place at the start.
+
+    least: the smallest turn of each conversation that several tasks share.
+    """
+
+    def filled(conv: object, rows: list) -> list:
+        low = least[conv] if conv in least else min((t for t, _, _ in rows if t is not None), default=None)
+        return [(turn, value, f"{found} {int(turn is None or turn == low)}") for turn, value, found in rows]
+
     key, rows, begun = None, [], False
     for batch in batches:
-        for conv, turn, text, found in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "text", "features")), strict=True):
+        for conv, turn, value, found in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", other, "features")), strict=True):
             if begun and conv != key:
-                yield key, rows
+                yield key, filled(key, rows)
                 rows = []
             key, begun = conv, True
-            rows.append((turn, text, found))
+            rows.append((turn, value, found))
     if begun:
-        yield key, rows
+        yield key, filled(key, rows)
 
 
-def _reduce(chain):  # noqa: ANN001
+def _trainable(least: dict):
+    """(conv_id, turn, role, features) without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for conv, rows in _segments(batches, least, "role"):
+            turn, role, found = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array([conv] * len(rows), pa.int64()), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(found, pa.string())], ["conv_id", "turn", "role", "features"])
+
+    return run
+
+
+def _reduce(chain, least: dict):  # noqa: ANN001
     """The matrices of a task's first and last conversation; only those may go on elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +160,7 @@ def _reduce(chain):  # noqa: ANN001
                     task.append(batch.column("task")[0].as_py())
                 yield batch
 
-        for conv, rows in _segments(watched()):
+        for conv, rows in _segments(watched(), least):
             one = (conv, _matrix(chain.value, [f for _, _, f in rows]))
             first, last = first or one, one
         ends = [x for x in (first, last) if x is not None]
@@ -191,7 +211,7 @@ def _trace(chain: Chain, found: list[str], entry: int, out: int | None) -> list[
     return states[::-1]
 
 
-def _decode(chain, fixed: dict):  # noqa: ANN001
+def _decode(chain, least: dict, fixed: dict):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = []
 
@@ -202,7 +222,7 @@ def _decode(chain, fixed: dict):  # noqa: ANN001
                 yield batch
 
         out: list[tuple] = []
-        for conv, rows in _segments(watched()):
+        for conv, rows in _segments(watched(), least):
             entry, end = fixed.get((task[0], conv), (-1, None))
             states = _trace(chain.value, [f for _, _, f in rows], entry, end)
             out += [(conv, turn, role := chain.value.roles[s], canonical(text, role)) for (turn, text, _), s in zip(rows, states, strict=True)]
@@ -225,29 +245,39 @@ def roles(turns: DataFrame, train: DataFrame | None = None) -> DataFrame:
     train: rows with roles to learn from; turns itself if it has roles and none is given.
     """
     spark = session_for(turns)
-
-    def with_features(rows: DataFrame) -> DataFrame:
-        role = F.col("role") if "role" in rows.columns else F.lit(None).cast("string")
-        slim = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), F.col("text"))
-        first = slim.groupBy("conv_id").agg(F.min("turn").alias("_least"))
-        marked = slim.join(first.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-        marked = marked.withColumn("first", F.coalesce(F.col("turn") == F.col("_least"), F.lit(True)))
-        return marked.select("conv_id", "turn", "role", "text", "first").mapInPandas(_featured, f"{_COLUMNS}, features string")
-
-    rows = cut(with_features(turns))
-    chain = fit(rows if train is None else cut(with_features(train)))
+    rows, least = _arranged(turns)
+    known = (rows, least) if train is None else _arranged(train)
+    chain = fit(known[0].select("conv_id", "turn", "role", "features").mapInArrow(_trainable(known[1]), "conv_id long, turn long, role string, features string"))
     if chain is None:
-        return rows.select("conv_id", "turn", F.lit(None).cast("string").alias("role"), F.udf(canonical)("text", F.lit(None)).alias("rendered"))
+        return rows.select("conv_id", "turn", "text").mapInPandas(_without_roles, _TURNS)
     shared = spark.sparkContext.broadcast(chain)
-    ranged = cut_in_order(
-        rows.select("conv_id", "turn", "text", "features")
+    ends = rows.mapInArrow(_reduce(shared, least), "conv_id long, task int, matrix binary")
+    # two rows a task at most
+    fixed: dict = {}
+    for r in ends.groupBy("conv_id").applyInArrow(_chained(len(chain.roles)), "conv_id long, task int, entry int, exit int").collect():
+        fixed[r["task"], r["conv_id"]] = r["entry"], r["exit"]
+    return rows.mapInArrow(_decode(shared, least, fixed), _TURNS)
+
+
+_TURNS = "conv_id long, turn long, role string, rendered string"
+
+
+def _arranged(turns: DataFrame) -> tuple[DataFrame, dict]:
+    """Turns with features, sorted over ranges, and the smallest turn of conversations that tasks share."""
+    spark = session_for(turns)
+    role = F.col("role") if "role" in turns.columns else F.lit(None).cast("string")
+    slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), F.col("text"))
+    rows = cut_in_order(
+        slim.mapInPandas(_featured, f"{_COLUMNS}, features string")
         .repartitionByRange(shuffle_partitions(spark), "conv_id", "turn", "text")
         .sortWithinPartitions("conv_id", "turn", "text")
         .withColumn("task", F.spark_partition_id())
     )
-    ends = ranged.mapInArrow(_reduce(shared), "conv_id long, task int, matrix binary")
-    # two rows a task at most
-    fixed: dict = defaultdict()
-    for r in ends.groupBy("conv_id").applyInArrow(_chained(len(chain.roles)), "conv_id long, task int, entry int, exit int").collect():
-        fixed[r["task"], r["conv_id"]] = r["entry"], r["exit"]
-    return ranged.mapInArrow(_decode(shared, dict(fixed)), "conv_id long, turn long, role string, rendered string")
+    shared = rows.groupBy("conv_id").agg(F.min("turn").alias("least"), F.min("task").alias("a"), F.max("task").alias("b")).where("a < b")
+    # fewer rows than tasks, as ranges are sorted
+    return rows, {r["conv_id"]: r["least"] for r in shared.collect()}
+
+
+def _without_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows.assign(role=None, rendered=[canonical(t if isinstance(t, str) else None, None) for t in rows["text"]])[["conv_id", "turn", "role", "rendered"]]

@@ -8,6 +8,7 @@ import uuid
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrove.llm import chat, line_dedup, mixing, near_dedup, neighbours, warc
 from lexgrove.llm.scratch import shared_folder
@@ -192,6 +193,15 @@ def test_chat_without_roles(spark):
     assert chat.roles(turns.where("turn > 5")).collect() == []
 
 
+def test_chat_held_out_roles(spark):
+    rng = np.random.default_rng(16)
+    rows = [r for i in range(90) for r in conversation(rng, i, int(rng.integers(2, 9)))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.roles(turns.where("conv_id >= 45").drop("role"), turns.where("conv_id < 45")).collect()
+    truth = {(c, t): r for c, t, r, _ in rows if c >= 45}
+    assert len(found) == len(truth) and np.mean([truth[r["conv_id"], r["turn"]] == r["role"] for r in found]) > 0.95
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     pytest.importorskip("public_tokenizers")
