@@ -11,6 +11,8 @@ many tasks; texts are shuffled this once. Best-path scores compose: each task re
 matrix of best scores between the states before and at its end; the matrices of a conversation
 that several tasks share, one a task, are chained, and each task then traces its own part
 between the states so fixed. The result equals one Viterbi pass over the whole conversation.
+parsed does the same for whole transcripts in one text, with lines as steps: a turn begins where
+the role changes or a marker stands.
 
 Defined results: a null or empty text has the features of an empty turn; turns with a null turn
 number come first; a null conv_id is a conversation of its own; equal turn numbers are ordered by
@@ -281,3 +283,74 @@ def _arranged(turns: DataFrame) -> tuple[DataFrame, dict]:
 def _without_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         yield rows.assign(role=None, rendered=[canonical(t if isinstance(t, str) else None, None) for t in rows["text"]])[["conv_id", "turn", "role", "rendered"]]
+
+
+# -- whole transcripts ------------------------------------------------------------------------------
+
+
+def _line_features(text: str) -> list[str]:
+    """Lines don't tell the start of a transcript: the model's first state does."""
+    return [" ".join(map(str, features(line + "\n", False))) for line in text.split("\n")]
+
+
+def _line_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(role, features, n, inside): counts of a batch's lines, and of steps from line to line of one turn."""
+    for rows in batches:
+        seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+        for role, text in zip(rows["role"], rows["text"], strict=True):
+            for i, found in enumerate(_line_features(text if isinstance(text, str) else "")):
+                own = seen[role, found]
+                own[0] += 1
+                own[1] += bool(i)
+        yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["role", "features", "n", "inside"])
+
+
+def fit_lines(train: DataFrame) -> Chain | None:
+    """The model of lines from turns (conv_id, turn, role, text) with known roles."""
+    known = train.where("role is not null and role <> ''").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    least = known.groupBy("conv_id").agg(F.min("turn").alias("_least")).select(F.col("conv_id").alias("_conv"), "_least")
+    slim = known.select("conv_id", "turn", "role")
+    first = slim.join(least, F.col("conv_id") == F.col("_conv")).where("turn = _least").groupBy("role").count()
+    lines = known.select("role", "text").mapInPandas(_line_counts, "role string, features string, n long, inside long")
+    counted = lines.groupBy("role", "features").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()
+    if not counted:
+        return None
+    seen = {(r["role"], r["features"]): r["n"] for r in counted}
+    step: dict[tuple[str, str], int] = defaultdict(int)
+    for r in counted:
+        step[r["role"], r["role"]] += r["inside"]
+    ahead = slim.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
+    for a, b, n in slim.join(ahead, ["conv_id", "turn"]).groupBy("role", "next").count().collect():
+        step[a, b] += n
+    return Chain(sorted({r for r, _ in seen}), {r[0]: r[1] for r in first.collect()}, step, seen)
+
+
+def turns_of(chain: Chain, text: str) -> list[tuple[str, str]]:
+    """Roles and texts of a transcript's turns."""
+    lines, found = text.split("\n"), _line_features(text)
+    out: list[tuple[str, list[str]]] = []
+    for line, mark, state in zip(lines, found, _trace(chain, found, -1, None), strict=True):
+        role = chain.roles[state]
+        if not out or out[-1][0] != role or not mark.startswith("0 "):
+            out.append((role, []))
+        out[-1][1].append(line)
+    return [(role, "\n".join(own)) for role, own in out]
+
+
+def parsed(transcripts: DataFrame, train: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, rendered) of the turns in each transcript (conv_id, text), numbered from 0.
+
+    train: turns with known roles (conv_id, turn, role, text). A null or empty text has no turns;
+    rows that repeat a conv_id are transcripts each. Without any known role a transcript is one turn.
+    """
+    spark = session_for(transcripts)
+    shared = spark.sparkContext.broadcast(fit_lines(train))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text:
+                    own = turns_of(shared.value, text) if shared.value else [(None, text)]
+                    yield _turns([(conv, i, role, canonical(part, role)) for i, (role, part) in enumerate(own)])
+
+    return transcripts.select(F.col("conv_id").cast("long"), "text").mapInArrow(run, _TURNS)

@@ -202,6 +202,30 @@ def test_chat_held_out_roles(spark):
     assert len(found) == len(truth) and np.mean([truth[r["conv_id"], r["turn"]] == r["role"] for r in found]) > 0.95
 
 
+def test_transcripts_in_one_text_are_cut_to_turns(spark):
+    rng = np.random.default_rng(26)
+    rows = [r for i in range(90) for r in conversation(rng, i, int(rng.integers(2, 9)))]
+    turns = spark.createDataFrame([r for r in rows if r[0] < 60], "conv_id long, turn long, role string, text string")
+    texts, truth = {}, {}
+    for c in range(60, 90):
+        own = [r for r in rows if r[0] == c]
+        texts[c] = "\n".join(r[3] for r in own)
+        truth[c] = [(r[2], chat.canonical(r[3], r[2])) for r in own]
+    transcripts = spark.createDataFrame([*texts.items(), (1, None), (2, "")], "conv_id long, text string").withColumn("role", F.lit("x"))
+    found = collections.defaultdict(list)
+    for r in sorted(chat.parsed(transcripts, turns).collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        assert r["turn"] == len(found[r["conv_id"]])
+        found[r["conv_id"]].append((r["role"], r["rendered"]))
+    assert set(found) == set(texts) and np.mean([found[c] == truth[c] for c in texts]) > 0.8
+    # by the model of the same turns, one pass over each text
+    model = chat.fit_lines(turns)
+    assert all([r for r, _ in chat.turns_of(model, texts[c])] == [r for r, _ in found[c]] for c in texts)
+    long = "\n".join(["User: is it?", *["a long answer of many words here"] * 3000])
+    assert [r["role"] for r in chat.parsed(spark.createDataFrame([(1, long)], "conv_id long, text string"), turns).collect()] == ["user", "assistant"]
+    nobody = chat.parsed(spark.createDataFrame([(1, "a\nb")], "conv_id long, text string"), turns.limit(0)).collect()
+    assert [(r["role"], r["rendered"]) for r in nobody] == [(None, chat.canonical("a\nb", None))]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     pytest.importorskip("public_tokenizers")
