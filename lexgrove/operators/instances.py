@@ -96,7 +96,9 @@ def refeaturized(meta: DataFrame, counting: str, kinds: Sequence[str] | None = N
     vocab: the vocabulary of training for rows of a test set; without it that of the rows themselves.
     """
     features = meta_features(meta, kinds, group)
-    return mx.matrix(features, mx.vocabulary(features, group) if vocab is None else vocab, counting, group, strict_parity)
+    if vocab is None:
+        return mx.fitted_matrix(features, counting, group, strict_parity)
+    return mx.matrix(features, vocab, counting, group, strict_parity)
 
 
 def meta_features(meta: DataFrame, kinds: Sequence[str] | None = None, group: str = "lemma") -> DataFrame:

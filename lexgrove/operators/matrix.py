@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.sources.shared import cut
+
 COUNTINGS = ("keep", "repeat", "bin")
 
 
@@ -13,7 +15,11 @@ def vocabulary(features: DataFrame, group: str = "lemma") -> DataFrame:
 
     features: (group, instance_id, feature), a row for each occurrence.
     """
-    return counts(features, group).groupBy(group, "feature").agg(F.max("n").alias("most"))
+    return _largest(counts(features, group), group)
+
+
+def _largest(counted: DataFrame, group: str) -> DataFrame:
+    return counted.groupBy(group, "feature").agg(F.max("n").alias("most"))
 
 
 def counts(features: DataFrame, group: str = "lemma") -> DataFrame:
@@ -27,7 +33,17 @@ def matrix(features: DataFrame, vocab: DataFrame, counting: str, group: str = "l
     k/ceil(most/10)``, 1 if the count modulo 10 exceeds 10 k; with strict_parity off, if the
     count itself exceeds 10 k.
     """
-    known = counts(features, group).join(vocab, [group, "feature"])
+    return _cells(counts(features, group), vocab, counting, group, strict_parity)
+
+
+def fitted_matrix(features: DataFrame, counting: str, group: str = "lemma", strict_parity: bool = True) -> DataFrame:
+    """matrix by the vocabulary of the rows themselves, which are counted once, into a table."""
+    counted = cut(counts(features, group))
+    return _cells(counted, _largest(counted, group), counting, group, strict_parity)
+
+
+def _cells(counted: DataFrame, vocab: DataFrame, counting: str, group: str, strict_parity: bool) -> DataFrame:
+    known = counted.join(vocab, [group, "feature"])
     if counting == "keep":
         return known.select(group, "instance_id", F.col("feature").alias("column"), F.col("n").alias("value"))
     if counting not in COUNTINGS:

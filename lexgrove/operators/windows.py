@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 PUNCTUATION = r"^[^\p{L}\p{N}]+$"
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_punctuation: bool = True) -> DataFrame:
-    """(key, pos, word): words between single spaces, lower-cased, numbered within their row."""
-    parts = docs.select(key, F.posexplode(F.split(F.lower(text), " ")).alias("pos", "word")).where("word <> ''")
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_punctuation: bool = True, also: Sequence[str] = ()) -> DataFrame:
+    """(key, also, pos, word): words between single spaces, lower-cased, numbered within their row."""
+    parts = docs.select(key, *also, F.posexplode(F.split(F.lower(text), " ")).alias("pos", "word")).where("word <> ''")
     return parts.where(~F.col("word").rlike(PUNCTUATION)) if drop_punctuation else parts
 
 

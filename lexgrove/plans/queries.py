@@ -422,7 +422,8 @@ def span_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).join(read(spark, folder, "documents").select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("lemma"), F.col("doc_id").alias("instance_id"), F.col("word").alias("feature"))
+    words = windows.tokens(read(spark, folder, "documents"), also=["lang"])
+    return words.select(F.col("lang").alias("lemma"), F.col("doc_id").alias("instance_id"), F.col("word").alias("feature"))
 
 
 _FEATURE_COUNTS = f"SELECT lang AS lemma, t.doc_id AS instance_id, word AS feature, count(*) AS n FROM ({_TOKENS}) t JOIN documents d ON t.doc_id = d.doc_id GROUP BY ALL"
@@ -436,8 +437,7 @@ def vocab_max_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT lemma, instance_id, feature AS column, n AS value FROM ({_FEATURE_COUNTS})")
 def matrix_keep(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _features(spark, folder)
-    return mx.matrix(rows, mx.vocabulary(rows), "keep")
+    return mx.fitted_matrix(_features(spark, folder), "keep")
 
 
 _CELLS = (
@@ -448,14 +448,12 @@ _CELLS = (
 
 @query(_CELLS.format("most", "n > k"))
 def matrix_repeat(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _features(spark, folder)
-    return mx.matrix(rows, mx.vocabulary(rows), "repeat")
+    return mx.fitted_matrix(_features(spark, folder), "repeat")
 
 
 @query(_CELLS.format("CAST(ceil(most / 10) AS BIGINT)", "n % 10 > 10 * k"))
 def matrix_bin(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _features(spark, folder)
-    return mx.matrix(rows, mx.vocabulary(rows), "bin")
+    return mx.fitted_matrix(_features(spark, folder), "bin")
 
 
 @query("SELECT o_custkey, string_agg(o_orderstatus, '++' ORDER BY o_orderstatus) AS label FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) GROUP BY o_custkey")
