@@ -73,15 +73,23 @@ def lowest_common(pairs: DataFrame, up: DataFrame) -> DataFrame:
 _STEP = "struct<dir:string,gf:string,pt:string,node_id:string>"
 
 
-def chains(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(sent_id, node_id, ancestor_id, up, down): the steps from node to ancestor, and back down.
 
+    wanted: (sent_id, node_id, ancestor_id) of the chains to give; without it all.
+
     An up step has the child's edge label and the parent's category, a down step the child's
     edge label and the child's category.
     """
     to = ancestors.select("sent_id", "node_id", "ancestor_id", "depth")
+    if wanted is not None:
+        to = to.join(wanted, ["sent_id", "node_id", "ancestor_id"], "left_semi")
+        ancestors = ancestors.join(wanted, ["sent_id", "node_id"], "left_semi")
+        nodes_of = nodes.join(wanted, ["sent_id", "node_id"], "left_semi")
+    else:
+        nodes_of = nodes
     # the edge above each node on the way: the node itself and ancestors below the last
-    way = with_self(nodes, ancestors).select("sent_id", "node_id", F.col("ancestor_id").alias("child_id"), F.col("depth").alias("at"))
+    way = with_self(nodes_of, ancestors).select("sent_id", "node_id", F.col("ancestor_id").alias("child_id"), F.col("depth").alias("at"))
     cat = nodes.select("sent_id", F.col("node_id").alias("_n"), F.col("cat").alias("_cat"))
     labelled = (
         edges.join(cat.withColumnsRenamed({"_n": "parent_id", "_cat": "parent_cat"}), ["sent_id", "parent_id"])
@@ -109,8 +117,9 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
     """pairs (sent_id, a, b) with path, lca, up_steps, down_steps; pairs without a path are left out."""
-    met = lowest_common(pairs, with_self(nodes, ancestors))
-    steps = chains(nodes, edges, ancestors)
+    met = cut(lowest_common(pairs, with_self(nodes, ancestors)))
+    ends = [met.select("sent_id", F.col(c).alias("node_id"), F.col("lca").alias("ancestor_id")) for c in ("a", "b")]
+    steps = cut(chains(nodes, edges, ancestors, ends[0].unionAll(ends[1]).distinct()))
     none = F.array().cast(f"array<{_STEP}>")
     a = steps.select("sent_id", F.col("node_id").alias("a"), F.col("ancestor_id").alias("lca"), "up")
     b = steps.select("sent_id", F.col("node_id").alias("b"), F.col("ancestor_id").alias("lca"), "down")
