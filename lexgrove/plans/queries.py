@@ -529,14 +529,14 @@ def tree_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each customer's first order with the next customer's first order."""
-    first = read(spark, folder, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    other = first.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("k").alias("k2"))
-    return first.join(other, "o_custkey").select(F.lit("s").alias("sent_id"), F.concat(F.lit("O"), "k").alias("a"), F.concat(F.lit("O"), "k2").alias("b"))
+    """Every order with the next one by customer and key."""
+    placed = rel.with_index(read(spark, folder, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "place")
+    order = lambda name, place: placed.select(F.concat(F.lit("O"), "o_orderkey").alias(name), place.alias("place"))
+    return order("a", F.col("place")).join(order("b", F.col("place") - 1), "place").select(F.lit("s").alias("sent_id"), "a", "b")
 
 
 _PAIRS = (
-    "f AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey), pairs AS (SELECT 'O' || f.k AS a, 'O' || g.k AS b FROM f JOIN f g ON g.o_custkey = f.o_custkey + 1), "
+    "pairs AS (SELECT * FROM (SELECT 'O' || o_orderkey AS a, 'O' || lead(o_orderkey) OVER (ORDER BY o_custkey, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL), "
     "self AS (SELECT node_id, ancestor_id, depth FROM up UNION ALL SELECT DISTINCT node_id, node_id, 0 FROM up), "
     "met AS (SELECT a, b, x.ancestor_id AS lca, x.depth AS up_steps, y.depth AS down_steps FROM pairs JOIN self x ON x.node_id = a JOIN self y ON y.node_id = b AND y.ancestor_id = x.ancestor_id "
     "QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY x.depth + y.depth) = 1) "
