@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +127,22 @@ def written(t: dict[str, DataFrame]) -> DataFrame:
     return rows.select("sent_id", xml.alias("xml"))
 
 
+_HEADER = '<?xml version="1.0" encoding="UTF-8"?>\n<corpus>\n<head/>\n<body>'
+_FOOTER = "</body>\n</corpus>"
+
+
+def _corpora(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sentences, between one header and one footer: a file holds one document."""
+    begun = False
+    for batch in batches:
+        if batch.num_rows and not begun:
+            begun = True
+            yield pa.record_batch([pa.array([_HEADER])], ["value"])
+        yield pa.record_batch([batch.column(0)], ["value"])
+    if begun:
+        yield pa.record_batch([pa.array([_FOOTER])], ["value"])
+
+
 def write(t: dict[str, DataFrame], path: str) -> None:
     """Files of sentences between a corpus's header and footer, one corpus a file."""
-    rows = written(t).withColumn("part", F.spark_partition_id())
-    files = rows.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "xml"))), lambda x: x["xml"]), "\n").alias("body"))
-    files.select(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<corpus>\n<head/>\n<body>\n'), "body", F.lit("\n</body>\n</corpus>")).alias("value")).write.text(path)
+    written(t).sortWithinPartitions("sent_id", "xml").select("xml").mapInArrow(_corpora, "value string").write.text(path)
