@@ -18,8 +18,13 @@ def _onehot(values: pd.DataFrame, vocabulary: dict[str, int]) -> list[list[int]]
     return [[j for j in row if j is not None] for row in zip(*columns, strict=True)] if len(values) else []
 
 
-def _maxent(rows: list[list[int]], labels: np.ndarray, width: int, classes: int, rounds: int = 80, prior: float = 1.0) -> np.ndarray:
-    """Weights of a multinomial logistic model on sparse indicator rows, by scaled gradient steps with a Gaussian prior."""
+def _maxent(rows: list[list[int]], labels: np.ndarray, width: int, classes: int, times: np.ndarray | None = None, rounds: int = 80, prior: float = 1.0) -> np.ndarray:
+    """Weights of a multinomial logistic model on sparse indicator rows, by scaled gradient steps with a Gaussian prior.
+
+    times: how often each row occurs; without it once.
+    """
+    times = np.ones(len(rows)) if times is None else times
+    every = max(1, times.sum())
     weights = np.zeros((width + 1, classes))
     step = np.full_like(weights, 1.0)
     lengths = np.array([len(r) for r in rows])
@@ -28,16 +33,13 @@ def _maxent(rows: list[list[int]], labels: np.ndarray, width: int, classes: int,
     target = np.eye(classes)[labels]
     last = np.zeros_like(weights)
     for _ in range(rounds):
-        score = np.zeros((len(rows), classes))
-        np.add.at(score, owner, weights[flat])
-        score += weights[-1]
+        score = np.column_stack([np.bincount(owner, weights[flat, c], len(rows)) for c in range(classes)]) + weights[-1]
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        slip = p - target
-        slope = np.zeros_like(weights)
-        np.add.at(slope, flat, slip[owner])
+        slip = (p - target) * times[:, None]
+        slope = np.column_stack([np.bincount(flat, slip[owner, c], width + 1) for c in range(classes)])
         slope[-1] = slip.sum(0)
-        slope = slope / max(1, len(rows)) + weights * prior / max(1, len(rows)) * 0.1
+        slope = slope / every + weights * prior / every * 0.1
         same = np.sign(slope) * np.sign(last)
         step = np.clip(np.where(same > 0, step * 1.2, np.where(same < 0, step * 0.5, step)), 1e-4, 5)
         weights -= step * np.sign(slope) * np.minimum(np.abs(slope) * 4, 1)
@@ -45,21 +47,30 @@ def _maxent(rows: list[list[int]], labels: np.ndarray, width: int, classes: int,
     return weights
 
 
-def train_one(values: pd.DataFrame, labels: pd.Series, kind: str) -> dict:
+def train_one(values: pd.DataFrame, labels: pd.Series, kind: str, times: np.ndarray | None = None) -> dict:
+    """A model of rows that occur so many times each; without times once."""
+    times = np.ones(len(labels), np.int64) if times is None else times
     names = sorted(labels.astype(str).unique())
     place = {n: i for i, n in enumerate(names)}
     y = labels.astype(str).map(place).to_numpy()
-    model: dict = {"labels": names, "counts": np.bincount(y, minlength=len(names)).tolist()}
+    model: dict = {"labels": names, "counts": np.bincount(y, times, len(names)).astype(np.int64).tolist()}
     if kind == "maxent":
         vocabulary = {k: i for i, k in enumerate(sorted({f"{i}={v}" for i, c in enumerate(values.columns) for v in values[c].astype(str)}))}
-        model |= {"vocabulary": vocabulary, "weights": _maxent(_onehot(values, vocabulary), y, len(vocabulary), len(names)).round(6).tolist()}
+        model |= {"vocabulary": vocabulary, "weights": _maxent(_onehot(values, vocabulary), y, len(vocabulary), len(names), times).round(6).tolist()}
     elif kind == "knn":
-        model |= {"rows": values.astype(str).to_numpy().tolist(), "y": y.tolist()}
+        model |= {"rows": np.repeat(values.astype(str).to_numpy(), times, 0).tolist(), "y": np.repeat(y, times).tolist()}
     return model
 
 
 def apply_one(model: dict, values: pd.DataFrame, kind: str, k: int = 5) -> list[list[tuple[str, float]]]:
-    """For each row labels with confidences, best first."""
+    """For each row labels with confidences, best first; equal rows are scored once."""
+    if len(values) and len(values.columns):
+        values = values.astype(str)
+        place = values.groupby(list(values.columns), sort=False).ngroup().to_numpy()
+        kinds = np.unique(place, return_index=True)[1]
+        if len(kinds) < len(values):
+            found = apply_one(model, values.iloc[kinds], kind, k)
+            return [found[i] for i in place]
     names, n = model["labels"], len(values)
     if kind == "majority":
         scores = np.tile(np.array(model["counts"], float) / max(1, sum(model["counts"])), (n, 1))
@@ -80,7 +91,10 @@ def apply_one(model: dict, values: pd.DataFrame, kind: str, k: int = 5) -> list[
 
 
 def train(rows: DataFrame, group: list[str], features: list[str], label: str, step: str, kind: str = "maxent", noval: str = "NONE") -> DataFrame:
-    """(grp, step, kind, model): a model for each group; labels are FE or no-value for argrec, roles for arglab."""
+    """(grp, step, kind, model): a model for each group; labels are FE or no-value for argrec, roles for arglab.
+
+    Equal rows are counted first, so that a group's task gets its distinct rows only.
+    """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
     if step == "argrec":
@@ -88,9 +102,10 @@ def train(rows: DataFrame, group: list[str], features: list[str], label: str, st
     elif step == "arglab":
         rows = rows.where(F.col(label) != noval)
     slim = rows.select(F.concat_ws("+", *group).alias("grp"), *features, F.col(label).alias("_label"))
+    slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_times"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model = train_one(pdf[features], pdf["_label"], kind)
+        model = train_one(pdf[features], pdf["_label"], kind, pdf["_times"].to_numpy())
         return pd.DataFrame({"grp": [key[0]], "step": [step], "kind": [kind], "model": [json.dumps(model)]})
 
     return slim.groupBy("grp").applyInPandas(run, _MODEL)
