@@ -61,42 +61,47 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int | None = No
         source = F.col("gp") if "gvpath" in name else trees.down_part(F.col("p")) if "partial" in name else F.col("p")
         text = trees.printed(source, *parts, cutoff=True)
         rows = rows.withColumn(name, F.concat(text, ending) if "combined" in name else text)
-    rows = cut(rows)
-    rows = rows.withColumn("path_length", F.size("p")).withColumn("path_length", F.when(F.col("p").isNotNull(), F.col("path_length")))
+    rows = cut(rows.withColumn("path_length", F.when(F.col("p").isNotNull(), F.size("p"))).drop("p", "gp"))
 
+    # what a node has without a frame, by narrow rows: b and all that hangs on it
+    of_b = nodes.select("sent_id", F.col("node_id").alias("b")).distinct()
     parents = edges.select("sent_id", F.col("child_id").alias("b"), F.col("parent_id").alias("parent"))
     parent_pt = nodes.select("sent_id", F.col("node_id").alias("parent"), F.col("simple_pt").alias("father_pt"), F.col("category").alias("father_category"))
-    rows = _joined(_joined(rows, parents, "sent_id", "b"), parent_pt, "sent_id", "parent")
-    rows = rows.withColumn("ismaxproj", F.when(F.col("father_category").eqNullSafe(F.col("category")) & F.col("parent").isNotNull(), 0).otherwise(1))
+    of_b = _joined(of_b, parents, "sent_id", "b")
     children = edges.join(nodes.select("sent_id", F.col("node_id").alias("child_id"), "simple_pt"), ["sent_id", "child_id"])
     rules = children.groupBy("sent_id", F.col("parent_id").alias("lca")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_ord", "child_id", "simple_pt"))), lambda x: F.coalesce(x["simple_pt"], F.lit("-"))), " ").alias("rhs"))
     lhs = nodes.select("sent_id", F.col("node_id").alias("lca"), F.col("simple_pt").alias("lhs"))
-    rows = _joined(_joined(rows, rules, "sent_id", "lca"), lhs, "sent_id", "lca").withColumn("ancestor_rule", F.concat_ws(" -> ", "lhs", "rhs")).withColumn("ancestor_rule", F.when(F.col("rhs").isNotNull(), F.col("ancestor_rule")))
 
     place = bounds.select("sent_id", F.col("node_id").alias("b"), F.col("low").alias("node_low"), F.col("high").alias("node_high"), F.col("first_id"), F.col("last_id"))
     anchor = bounds.select("sent_id", F.col("node_id").alias("a"), F.col("low").alias("anchor_low"), F.col("high").alias("anchor_high"))
-    rows = trees.relative_position(_joined(_joined(rows, place, "sent_id", "b"), anchor, "sent_id", "a"))
     word = lambda key, lemma, pos: nodes.select("sent_id", F.col("node_id").alias(key), F.col("lemma_").alias(lemma), F.col("pt").alias(pos))
-    rows = _joined(_joined(rows, word("first_id", "firstword", "firstword_pos"), "sent_id", "first_id"), word("last_id", "lastword", "lastword_pos"), "sent_id", "last_id")
     heads = head_of.select("sent_id", F.col("node_id").alias("b"), "head_id")
     order = nodes.select("sent_id", F.col("node_id").alias("head_id"), F.col("term_ord").alias("head_ord"))
-    rows = _joined(_joined(_joined(rows, heads, "sent_id", "b"), word("head_id", "const_head", "const_head_pos"), "sent_id", "head_id"), order, "sent_id", "head_id")
-    rows = rows.withColumn("worddistance", F.abs(F.col("head_ord") - F.col("anchor_low")))
     content = lx.informative_content(nodes, edges, head_of, language).select("sent_id", F.col("node_id").alias("b"), "content_id")
-    rows = _joined(_joined(rows, content, "sent_id", "b"), word("content_id", "icont_lemma", "icont_pos"), "sent_id", "content_id")
     prep = lx.prepositions(nodes, below, language).select("sent_id", F.col("node_id").alias("b"), "prep")
-    rows = _joined(rows, prep, "sent_id", "b")
     beside = trees.sibling_nodes(edges, bounds).withColumnRenamed("node_id", "b")
-    rows = _joined(rows, beside, "sent_id", "b")
+    for other in (place, heads, content, prep, beside):
+        of_b = _joined(of_b, other, "sent_id", "b")
+    of_b = _joined(of_b, parent_pt, "sent_id", "parent")
+    of_b = _joined(of_b, word("first_id", "firstword", "firstword_pos"), "sent_id", "first_id")
+    of_b = _joined(of_b, word("last_id", "lastword", "lastword_pos"), "sent_id", "last_id")
+    of_b = _joined(_joined(of_b, word("head_id", "const_head", "const_head_pos"), "sent_id", "head_id"), order, "sent_id", "head_id")
+    of_b = _joined(of_b, word("content_id", "icont_lemma", "icont_pos"), "sent_id", "content_id")
     for side in ("left", "right"):
         near = nodes.select("sent_id", F.col("node_id").alias(f"{side}_id"), F.col("simple_pt").alias(f"{side}sib_pt"))
         near = _joined(near, head_of.select("sent_id", F.col("node_id").alias(f"{side}_id"), F.col("head_id").alias("_h")), "sent_id", f"{side}_id")
         near = _joined(near, nodes.select("sent_id", F.col("node_id").alias("_h"), F.col("lemma_").alias(f"{side}sib_lemma")), "sent_id", "_h").drop("_h")
-        rows = _joined(rows, near, "sent_id", f"{side}_id")
+        of_b = _joined(of_b, near, "sent_id", f"{side}_id")
+    rows = _joined(_joined(rows, rules, "sent_id", "lca"), lhs, "sent_id", "lca").withColumn("ancestor_rule", F.when(F.col("rhs").isNotNull(), F.concat_ws(" -> ", "lhs", "rhs")))
+    rows = _joined(_joined(rows, anchor, "sent_id", "a"), cut(of_b), "sent_id", "b")
+    rows = rows.withColumn("ismaxproj", F.when(F.col("father_category").eqNullSafe(F.col("category")) & F.col("parent").isNotNull(), 0).otherwise(1))
+    rows = trees.relative_position(rows).withColumn("worddistance", F.abs(F.col("head_ord") - F.col("anchor_low")))
     rows = cut(rows)
-    functions = lx.english_verb_functions(rows.select("sent_id", "a", "b", "category", F.col("pt_path").alias("path"), "relpos", "voice", "prep")) if language == "en" else lx.edge_functions(edges).select("sent_id", F.col("anchor_id").alias("a"), F.col("node_id").alias("b"), "gf")
-    functions = functions.where("gf is not null").groupBy("sent_id", "a", "b").agg(F.min("gf").alias("gf"))
-    rows = _joined(rows, functions, "sent_id", "a", "b")
+    if language == "en":  # from the row alone
+        rows = lx.english_verb_functions(rows.withColumn("path_", F.col("path")).withColumn("path", F.col("pt_path"))).withColumn("path", F.col("path_")).drop("path_")
+    else:
+        functions = lx.edge_functions(edges).select("sent_id", F.col("anchor_id").alias("a"), F.col("node_id").alias("b"), "gf")
+        rows = _joined(rows, functions.where("gf is not null").groupBy("sent_id", "a", "b").agg(F.min("gf").alias("gf")), "sent_id", "a", "b")
     through_pp = F.col("father_category") == "prep"
     rows = trees.conjunction_between(rows, ["sent_id", "frame_id", "a"])
     rows = rows.withColumn("prune", trees.prune(F.col("up_steps"), F.col("down_steps"), through_pp, F.col("conjunction")))
