@@ -28,6 +28,7 @@ ranks last.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,6 +153,17 @@ class Index:
         return out
 
 
+def _fit(width: int, largest: float, k: int, rows: int, norm: float):
+    """The hashing for a sample, which comes as one task's rows; the driver gets only the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) for b in batches]
+        if parts:
+            yield pa.record_batch([pa.array([pickle.dumps(Hashing(np.concatenate(parts), largest, k, rows, norm))])], ["hashing"])
+
+    return run
+
+
 def _packed(size: int):
     """Blocks of rows (id, vector) as bytes; one task's rows stay in its blocks."""
 
@@ -216,8 +228,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     usable = usable.where(F.size("vector") == width)
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.lit(largest)) * (x.cast("double") / F.lit(largest)))
     norm = float(usable.agg(F.max(square)).first()[0]) ** 0.5
-    chosen = usable.orderBy(F.xxhash64("id", F.lit(3))).limit(SAMPLE).select("vector").collect()
-    hashing = spark.sparkContext.broadcast(Hashing(np.array([r[0] for r in chosen], np.float64), largest, k, rows, norm))
+    chosen = usable.orderBy(F.xxhash64("id", F.lit(3))).limit(SAMPLE).select("vector")
+    fitted = chosen.mapInArrow(_fit(width, largest, k, rows, norm), "hashing binary").first()
+    hashing = spark.sparkContext.broadcast(pickle.loads(fitted["hashing"]))
     task = F.spark_partition_id().cast("long").alias("task")
     blocks = "task long, number long, ids binary, vectors binary"
     slots = shuffle_partitions(spark)
@@ -225,7 +238,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asking = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.max_by("vector", F.xxhash64("vector")).alias("vector"))
     asked = cut(asking.select("id", "vector", task).mapInArrow(_packed(QUERY_BLOCK), blocks))
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    met = stored.join(asked, "slot").select("task", "number", "ids", "vectors", "q_ids", "q_vectors")
+    # never broadcast: the planner doesn't see that every query is repeated for each slot
+    met = stored.join(asked.hint("merge"), "slot").select("task", "number", "ids", "vectors", "q_ids", "q_vectors")
     found = met.mapInArrow(_search(hashing, width, kind, k), "query_id long, vec_id long, score double")
     found = found.withColumn("vec_id", F.nullif("vec_id", F.lit(int(np.iinfo(np.int64).min))))
     number = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
