@@ -2,23 +2,30 @@
 
 The model is trained on trusted text: the documents labelled good, all of it. Its units are the
 words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, its order is three: a word is predicted from
-the classes (CLASSES, by hash) of the two words before it, then from that of one, then from
-nothing, and at last as an unknown word, one over the vocabulary and one more. Contexts are
-thus few, while the words and their counts grow with the corpus, and all counts of a word lie
-in one shard, whatever its contexts.
-
-Counting: tasks count their trusted texts' words by context, and counts are summed by shard
-of words (streamed, so that memory is bounded by a shard's distinct words). Lower orders get
-continuation counts, the number of distinct classes seen before. Discounts D1, D2, D3+ of
-each order come from its counts of counts, and context sums are the only figures that the
-driver gets: at most (CLASSES + 1)**2 rows.
-
-Scoring, a sharded count join: each task sends, for a chunk of documents, its distinct words
-with contexts, documents and numbers to the words' shards, one compressed message for each
-chunk and shard; shards answer with a sum of log probabilities for each document of the
-chunk; and the sums are added by chunk. No text is shuffled. The HEAD most frequent words,
-among all texts and among trusted ones, are a bounded table that all tasks get, so no word
-however frequent makes a hot shard.
+the two words before it (two starts before a text's first word), then from the one before it,
+then from nothing, and at last as an unknown word, one over the vocabulary and one more.
+
+A word is known by its 64-bit hash. In all that is sent, the HEAD most frequent words have a short
+number instead, and others 48 bits of their hash. Each place
+of a text is one triple: its word with the words before and after. Triples are sharded by their
+middle word; a word so frequent that it would fill a shard is dealt out further by the word
+before. So one shard holds all counts of a pair of words and of what follows it, and of a word
+and of what precedes it.
+
+Counting: tasks send the triples of trusted texts, counted by chunk, and shards sum them. Lower
+orders get continuation counts, the number of distinct words seen before. A rare word's count is
+sent to the shards of the words that it follows, counts of numbered words to all tasks, and the
+pairs of dealt out words are summed by pair and sent to each of their shards. The driver gets the
+counts of numbered words and figures of fixed size: counts of counts, which give the discounts D1,
+D2, D3+ of each order, and totals. Tables are never written: for scoring, shards count the
+messages of trusted texts once more, before they answer them and the others.
+
+Scoring, a sharded count join: each task sends the triples of a chunk of documents to their
+shards, one compressed message for each chunk and shard; shards answer with a sum of log
+probabilities for each document of the chunk; and the sums are added by chunk. A triple's shard
+adds the probability of its last word after the others or, if the model doesn't have the triple,
+the weights of backing off; and the probability of its middle word alone, if the model doesn't
+have that word after the first. No text is shuffled.
 
 The model learns from two thirds of the trusted documents, by crc32 of their id. A document is
 kept if its perplexity is at most MARGIN times the QUANTILE of the other trusted documents of
@@ -35,6 +42,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +51,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm.scratch import cut, maybe_in, never_in, session_for, shuffle_partitions
-from lexgrove.llm.textcols import U, gathered, slices, text_bytes, word_hashes
+from lexgrove.llm.textcols import U, gathered, mix, slices, text_bytes, word_hashes
 
-CLASSES = 64
 QUANTILE = 0.99
 MARGIN = 1.25
-#: Frequent words whose counts all tasks get: at most (CLASSES + 1)**2 counts each, 12 bytes a count.
-HEAD = 256
+#: So many of the most frequent words at most get a number, which shortens messages; results don't depend on it.
+HEAD = 1 << 19
 #: Trusted ids that are sent to all tasks at most (8 bytes each); more are joined by shuffling.
 SENT_IDS = 2_000_000
 #: Text bytes for a shard, and of a chunk of documents, about.
 SHARD = 48 << 20
 CHUNK = 8 << 20
-_STRIDE = 128  # a context is class of the word before the last * _STRIDE + class of the last
+#: Words: the start and end of a text, numbered words, 48 bits of a hash.
+START, END, _NUMBERED, _RARE = 1, 2, 3, 1 << 48
 _BUFFER = 1_000_000  # counts that are held before they are summed
-_SHIFT = U(64 - CLASSES.bit_length() + 1)
+_TURN = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -76,101 +84,199 @@ def _unpack(data: bytes) -> list[np.ndarray]:
         size, width = struct.unpack_from("<IB", raw, at)
         planes = np.zeros((size, 8), np.uint8)
         planes[:, :width] = np.frombuffer(raw, np.uint8, size * width, at + 5).reshape(width, size).T
-        out.append(planes.view("<u8").ravel())
+        out.append(planes.view("<i8").ravel())
         at += 5 + size * width
     return out
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of each word, and the number of words before each row."""
-    words, first = word_hashes(*text_bytes(column))
-    kind = (words >> _SHIFT).astype(np.int64)
-    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    one, two = np.full(len(words), CLASSES), np.full(len(words), CLASSES)
-    one[1:], two[2:] = kind[:-1], kind[:-2]
-    return words, np.where(place > 1, two, CLASSES) * _STRIDE + np.where(place > 0, one, CLASSES), first
+def _pack_words(*columns: np.ndarray, n: np.ndarray) -> bytes:
+    """Columns of words, rare ones apart, and one of whole numbers."""
+    out = []
+    for words in columns:
+        rare = words >= _RARE
+        out += [np.where(rare, 0, words), words[rare] - _RARE]
+    return _pack(n, *out)
+
 
+def _unpack_words(data: bytes) -> list[np.ndarray]:
+    n, *rest = _unpack(data)
+    for words, rare in zip(rest[::2], rest[1::2], strict=True):
+        words[words == 0] = rare + _RARE
+    return [*rest[::2], n]
 
-def _shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    return (words & U(0xFFFFFFFF)) % U(shards)
 
+@dataclass
+class Head:
+    """Hashes of the numbered words (sorted), their numbers, and into how many shards each number's word is dealt."""
+
+    hashes: np.ndarray
+    numbers: np.ndarray
+    dealt: np.ndarray
+    shards: int
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def of(hashes: np.ndarray, counts: np.ndarray, total: int, shards: int) -> Head:
+        order = np.lexsort((hashes, -counts))
+        by_hash = np.argsort(hashes[order])
+        dealt = np.concatenate([np.ones(_NUMBERED, np.int64), np.clip(counts[order] * shards // max(total, 1), 1, shards)])
+        return Head(hashes[order][by_hash], (by_hash + _NUMBERED).astype(np.int32), dealt.astype(np.int32), shards)
+
+    @cached_property
+    def _of_shards(self) -> tuple[np.ndarray, np.ndarray]:
+        shard, number = self.each(np.arange(_NUMBERED, len(self.dealt)), np.arange(_NUMBERED, len(self.dealt)))
+        order = np.lexsort((number, shard))
+        return number[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
+
+    def numbers_in(self, shard: int) -> np.ndarray:
+        """The numbers, in order, whose words a shard has or has a part of."""
+        numbers, starts = self._of_shards
+        return numbers[starts[shard] : starts[shard + 1]]
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        out = (hashes >> U(16)).astype(np.int64) + _RARE
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.numbers[at], out)
+        return out
+
+    def dealt_of(self, words: np.ndarray) -> np.ndarray:
+        return np.where(words < _RARE, self.dealt[np.where(words < _RARE, words, 0)], 1)
+
+    def shard_of(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """A triple's shard, by its middle word and the one before."""
+        part = (mix(before.astype(U)) % self.dealt_of(words).astype(U)).astype(np.int64)
+        return _shard(words, part, self.shards)
+
+    def each(self, words: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        """Rows repeated for each part that a word is dealt into: its shard, and the columns."""
+        times = self.dealt_of(words)
+        of = np.repeat(np.arange(len(words)), times)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        shard = _shard(words[of], part, self.shards)
+        order = np.lexsort((shard, of))
+        order = order[_runs(of[order], shard[order])]  # two parts may be in one shard
+        return [shard[order], *(c[of[order]] for c in columns)]
+
+    def pack(self, shard: int, words: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> bytes:
+        """A shard's triples, whose middle words are numbered among the shard's."""
+        place = np.where(words < _RARE, np.searchsorted(self.numbers_in(shard), words) + 1, words)
+        return _pack_words(place, before, after, n=n)
+
+    def unpack(self, shard: int, data: bytes) -> list[np.ndarray]:
+        place, *rest = _unpack_words(data)
+        numbered = place < _RARE
+        place[numbered] = self.numbers_in(shard)[place[numbered] - 1]
+        return [place, *rest]
+
+
+def _shard(words: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(words.astype(U) * _TURN[0] + part.astype(U)) % U(shards)).astype(np.int64)
+
+
+def tokens(column: pa.Array, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word, the word before and the word after it in its text, and the number of words before each row."""
+    hashes, first = word_hashes(*text_bytes(column))
+    words = head.words(hashes)
+    before, after = np.full(len(words), START), np.full(len(words), END)
+    before[1:], after[:-1] = words[:-1], words[1:]
+    some = np.diff(first) > 0
+    before[first[:-1][some]], after[first[1:][some] - 1] = START, END
+    return words, before, after, first
+
+
+def _runs(*ordered: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    if not len(ordered[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(ordered[0]), bool)
+    new[0] = True
+    for column in ordered:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.int64)
+
+
+def _sizes(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(starts, len(of)))
+
+
+def _summed_up(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, sorted, with the sums of the last column."""
+    *keys, n = columns
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    starts = _runs(*keys)
+    return [*(k[starts] for k in keys), _sums(n[order], starts)]
 
 
 class Counts:
-    """Words (sorted) and their counts by context, as three columns; summed up as they come."""
+    """Keys of words and their counts, summed up as they come."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, width: int) -> None:
+        self.parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * (width + 1)]
         self.held, self.limit = 0, _BUFFER
 
-    def add(self, words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((words, contexts, n))
-        self.held += len(words)
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(list(columns))
+        self.held += len(columns[0])
         if self.held > self.limit:
             self.sum()
 
-    def sum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words, contexts, n = (np.concatenate([np.zeros(0, t), *(p[i] for p in self.parts)]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-        order = np.lexsort((contexts, words))
-        words, contexts = words[order], contexts[order]
-        starts = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])))) if len(words) else np.zeros(0, np.int64)
-        n = np.add.reduceat(n[order], starts) if len(starts) else n
-        self.parts, self.held, self.limit = [(words[starts], contexts[starts], n)], len(starts), max(_BUFFER, 2 * len(starts))
+    def sum(self) -> list[np.ndarray]:
+        if len(self.parts) > 1:
+            found = _summed_up(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+            self.parts, self.held, self.limit = [found], len(found[0]), max(_BUFFER, 2 * len(found[0]))
         return self.parts[0]
 
 
-class Table:
-    """Lookups in sorted counts: of a word in a context, and continuation counts.
+class Grams:
+    """A shard's triples (sorted by middle word, word before, word after) and what they say of lower orders."""
 
-    vocabulary: its words, sorted, if they are more than those with counts.
-    """
+    def __init__(self, words: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> None:
+        self.columns = words, before, after, n
+        self.inner = inner = after != END
+        self.pair_at = at = _runs(words, before)
+        self.first, self.second = before[at], words[at]  # pairs of words
+        self.pair_of = np.repeat(np.arange(len(at)), _sizes(at, words))
+        self.pair_n = _sums(n, at)
+        start = _runs(self.second)
+        self.words, self.continued = self.second[start], _sizes(start, self.second)
+        order = np.lexsort((after[inner], words[inner]))
+        one, two = words[inner][order], after[inner][order]
+        at = _runs(one, two)
+        self.one, self.two, self.pair_continued = one[at], two[at], _sizes(at, one)  # pairs by their first word
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, n: np.ndarray, vocabulary: np.ndarray | None = None) -> None:
-        self.words, self.n = words[_runs(words)] if vocabulary is None else vocabulary, n
-        rank = np.searchsorted(self.words, words)
-        self.key = rank * _STRIDE**2 + contexts
-        pair = np.sort(rank * _STRIDE + contexts % _STRIDE)
-        at = _runs(pair)
-        self.pair, self.pair_n = pair[at], np.diff(np.append(at, len(pair)))
-        self.word_n = np.bincount(self.pair // _STRIDE, minlength=len(self.words))
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0)
-
-    def counts(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word in its context: how often, after how many classes, in how many contexts of one."""
-        if not len(self.words):
-            return (np.zeros(len(words), np.int64),) * 3
-        rank = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[rank] == words
-        found = self._find(self.key, self.n, rank * _STRIDE**2 + contexts), self._find(self.pair, self.pair_n, rank * _STRIDE + contexts % _STRIDE), self.word_n[rank]
-        return tuple(np.where(known, x, 0) for x in found)  # type: ignore[return-value]
+def _counts_of(n: np.ndarray) -> np.ndarray:
+    return np.bincount(n[n <= 4], minlength=5)[1:]
 
 
-@dataclass
-class Model:
-    """Discounts of each order, and each context's total and share for the next lower order."""
+#: Figures: counts of counts of triples, pairs and single words (four each); of the words that start a
+#: text, how many, how often in all, and how many once, twice and more often; of the rare words, the
+#: sum of continuation counts, how many, and how many with one, two and more.
+_FIGURES = 22
+_AT_STARTS, _AT_RARE = 12, 17
 
-    discounts: np.ndarray  # order (3), count 0 to 3 and more
-    totals: list[np.ndarray]  # by context of two classes, of one, of none
-    spares: list[np.ndarray]
-    unknown: float
 
-    def log_p(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray], contexts: np.ndarray) -> np.ndarray:
-        p: np.ndarray | float = self.unknown
-        for order, where in ((2, np.zeros_like(contexts)), (1, contexts % _STRIDE), (0, contexts)):
-            n, total = counts[order], self.totals[order][where]
-            own = n - self.discounts[order][np.minimum(n, 3)]
-            p = np.where(total > 0, (own + self.spares[order][where] * p) / np.maximum(total, 1), p)
-        return np.log(p)
+def _by_three(n: np.ndarray) -> list[int]:
+    return [int(x.sum()) for x in (n == 1, n == 2, n > 2)]
+
+
+def _figures(grams: Grams, head: Head) -> np.ndarray:
+    out = np.zeros(_FIGURES, np.int64)
+    starts = grams.pair_n[grams.first == START]
+    rare = grams.continued[grams.words >= _RARE]
+    out[:4] = _counts_of(grams.columns[3][grams.inner]) + _counts_of(starts)
+    out[4:8] = _counts_of(grams.pair_continued[head.dealt_of(grams.one) == 1])
+    out[4] += len(starts)  # a start comes before each pair of a start and a word
+    out[8:12] = _counts_of(rare)
+    out[_AT_STARTS:_AT_RARE] = [len(starts), starts.sum(), *_by_three(starts)]
+    out[_AT_RARE:] = [rare.sum(), len(rare), *_by_three(rare)]
+    return out
 
 
 def _discounts(n: list[float]) -> list[float]:
@@ -180,235 +286,322 @@ def _discounts(n: list[float]) -> list[float]:
     return [0.0, *(min(max(x, 0.05), i - 0.05) for i, x in zip((1, 2, 3), d, strict=True))]
 
 
-#: Rows of figures: an order's context with its total and its numbers of words seen once, twice
-#: and more often; an order's counts of counts; the vocabulary.
-_ORDER = 1 << 20
-_COUNTED = 10 * _ORDER
-_VOCABULARY = 20 * _ORDER
-
-
-def model_of(figures: dict[int, tuple[int, ...]]) -> Model:
-    discounts = np.array([_discounts([float(x) for x in figures.get(_COUNTED + order, (0, 0, 0, 0))]) for order in range(3)])
-    totals, spares = [], []
-    for order, size in enumerate((_STRIDE**2, _STRIDE, 1)):
-        total, spare = np.zeros(size), np.zeros(size)
-        for key, row in figures.items():
-            if order * _ORDER <= key < order * _ORDER + size:
-                total[key % _ORDER] = row[0]
-                spare[key % _ORDER] = float(np.dot(row[1:], discounts[order][1:]))
-        totals.append(total)
-        spares.append(spare)
-    return Model(discounts, totals, spares, 1 / (figures.get(_VOCABULARY, (0,))[0] + 1))
-
-
-def _figures(table: Table) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """A table's part of the figures."""
-    contexts = (table.key % _STRIDE**2, table.pair % _STRIDE, np.zeros(len(table.words), np.int64))
-    for order, (where, n) in enumerate(zip(contexts, (table.n, table.pair_n, table.word_n), strict=True)):
-        total = np.bincount(where, n).astype(np.int64)
-        by = [np.bincount(where[x], minlength=len(total)) for x in (n == 1, n == 2, n > 2)]
-        for c in np.flatnonzero(total).tolist():
-            yield order * _ORDER + c, (int(total[c]), *(int(x[c]) for x in by))
-        yield _COUNTED + order, tuple(int((n == i).sum()) for i in (1, 2, 3, 4))
-    yield _VOCABULARY, (len(table.words), 0, 0, 0)
-
-
-def _split(words: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """Columns with their words, cut by the words' shards; order is kept."""
-    shard = _shard_of(words, shards)
+class Model:
+    """Discounts of each order, probabilities of single words, and those of a text's first word."""
+
+    def __init__(self, figures: np.ndarray, continued: np.ndarray) -> None:
+        """continued: of each numbered word."""
+        figures = figures.copy()
+        known = continued[continued > 0]
+        figures[8:12] += _counts_of(known)
+        figures[_AT_RARE:] += [known.sum(), len(known), *_by_three(known)]
+        self.triple, self.pair, self.single = (np.array(_discounts(figures[i : i + 4].astype(float).tolist())) for i in (0, 4, 8))
+        self.total, self.size = int(figures[_AT_RARE]), int(figures[_AT_RARE + 1])
+        self.spare = float(np.dot(figures[_AT_RARE + 2 :], self.single[1:]))
+        self.starts, self.texts = int(figures[_AT_STARTS]), int(figures[_AT_STARTS + 1])
+        self.start_spare = float(np.dot(figures[_AT_STARTS + 2 : _AT_RARE], self.triple[1:]))
+        self.numbered = self.alone(continued)
+
+    def alone(self, continued: np.ndarray) -> np.ndarray:
+        """Probability of a word with such a continuation count, 0 if unknown."""
+        return (self.less(self.single, continued) + self.spare / (self.size + 1)) / self.total
+
+    def at_start(self, n: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Probability of a text's first word that starts n trusted texts."""
+        pair = np.where(n > 0, 1 - self.pair[1], 0) / self.starts + self.pair[1] * alone
+        return (self.less(self.triple, n) + self.start_spare * pair) / self.texts
+
+    @staticmethod
+    def less(discounts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return n - discounts[np.minimum(n, 3)]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among the sorted ones, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _key(turn: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(one.astype(U) * _TURN[turn]) + two.astype(U))
+
+
+class Lookup:
+    """Sorted keys (64-bit hashes) with values."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Whether a key is there, and its values or 0."""
+        at, there = _find(self.keys, keys)
+        return there, *(np.where(there, v[at], 0) if len(v) else np.zeros(len(keys), v.dtype) for v in self.values)
+
+
+class Table:
+    """A shard's log probabilities and weights of backing off.
+
+    rare: the rare words that follow the shard's words, with their continuation counts; dealt: the
+    pairs, of all shards, that begin with the dealt out words which the shard has a part of.
+    """
+
+    def __init__(self, model: Model, head: Head, grams: Grams, rare: list[np.ndarray], dealt: list[np.ndarray]) -> None:
+        self.model = model
+        own = head.dealt_of(grams.one) == 1
+        one, two, n = (np.concatenate(c) for c in zip([grams.one[own], grams.two[own], grams.pair_continued[own]], dealt, strict=True))
+        order = np.lexsort((two, one))
+        one, two, n = one[order], two[order], n[order]
+        at = _runs(one)
+        words, of = one[at], np.repeat(np.arange(len(at)), _sizes(at, one))
+        total = _sums(n, at)
+        spare = np.bincount(of, model.pair[np.minimum(n, 3)], len(at))
+        at, there = _find(rare[0], two)
+        if not there[two >= _RARE].all():
+            raise ValueError("a word's continuation count is missing")
+        alone = model.alone(rare[1])[at] if len(rare[0]) else np.zeros(len(two))
+        alone = np.where(two < _RARE, self._numbered(two), alone)
+        p = (model.less(model.pair, n) + spare[of] * alone) / total[of]
+        self.pairs = Lookup(_key(1, one, two), p)
+        self.back = words, spare / np.maximum(total, 1)
+        mid, _, after, n = (c[grams.inner] for c in grams.columns)
+        pair = grams.pair_of[grams.inner]
+        total = np.bincount(pair, n, len(grams.first))
+        spare = np.bincount(pair, model.triple[np.minimum(n, 3)], len(grams.first))
+        key = _key(0, grams.second, grams.first)
+        _, lower = self.pairs.get(_key(1, mid, after))
+        self.triples = Lookup(_key(2, key[pair], after), (model.less(model.triple, n) + spare[pair] * lower) / total[pair])
+        # a pair that only ends texts predicts nothing
+        self.before = Lookup(key, np.where(total > 0, spare / np.maximum(total, 1), 1), grams.pair_n)
+        self.own = grams.words, grams.continued
+
+    def _numbered(self, words: np.ndarray) -> np.ndarray:
+        return self.model.numbered[np.where(words < _RARE, words, 0)]
+
+    def log_p(self, words: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """What each triple adds to its text."""
+        key = _key(0, words, before)
+        seen, back, n = self.before.get(key)
+        found, p = self.triples.get(_key(2, key, after))
+        rest = np.flatnonzero(~found & (after != END))
+        there, lower = self.pairs.get(_key(1, words[rest], after[rest]))
+        at, known = _find(self.back[0], words[rest])
+        lower[~there] = np.where(known, self.back[1][at], 1)[~there] if len(self.back[0]) else 1
+        p[rest] = np.where(seen[rest], back[rest], 1) * lower
+        p[~found & (after == END)] = 1
+        out = np.log(p)
+        start = before == START
+        rest = np.flatnonzero(start | ~seen)
+        at, known = _find(self.own[0], words[rest])
+        alone = self.model.alone(np.where(known, self.own[1][at], 0) if len(self.own[0]) else np.zeros(len(rest), np.int64))
+        alone = np.where(words[rest] < _RARE, self._numbered(words[rest]), alone)
+        out[rest] += np.log(np.where(start[rest], self.model.at_start(n[rest], alone), alone))
+        return out
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's frequent words, and a null with the number of all and their bytes."""
+    counts, total, size = Counts(1), 0, 0
+    for batch in batches:
+        for part in slices(batch, "text", CHUNK):
+            data, offsets = text_bytes(part.column("text"))
+            words, n = np.unique(word_hashes(data, offsets)[0].view(np.int64), return_counts=True)
+            total, size = total + int(n.sum()), size + len(data)
+            counts.add(words, n)
+            if counts.held > 4 * _BUFFER:  # a word may lose some of its count, which only lengthens messages
+                words, n = counts.sum()
+                counts.parts, counts.held = [[words[n > 1], n[n > 1]]], int((n > 1).sum())
+    words, n = counts.sum()
+    often = n > 2
+    yield pa.record_batch([pa.array([*words[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), total], pa.int64()), pa.array([0] * int(often.sum()) + [size], pa.int64())], ["word", "n", "size"])
+
+
+_ROWS = "kind int, shard long, chunk long, data binary"
+#: Kinds of rows: rare words with continuation counts, pairs of dealt out words with continuation
+#: counts, triples of trusted texts and of others, documents of a chunk; figures and numbered words
+#: for the driver.
+_WORDS, _PAIRS, _TRIPLES, _ASKED, _DOCS, _FIGURE, _NUMBERS = range(7)
+
+
+def _rows(*rows: tuple[int, int, bytes]) -> pa.RecordBatch:
+    kinds, shards, data = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(kinds, pa.int32()), pa.array(shards, pa.int64()), pa.array([-1] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["kind", "shard", "chunk", "data"])
+
+
+def _split(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Columns cut by shard; order is kept."""
     order = np.argsort(shard, kind="stable")
-    cuts = [*_runs(shard[order]).tolist(), len(words)]
+    cuts = [*_runs(shard[order]).tolist(), len(shard)]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(shard[order[a]]), tuple(c[order[a:b]] for c in (words, *columns))
+        yield int(shard[order[a]]), tuple(c[order[a:b]] for c in columns)
 
 
-def _counted(shards: int):
-    """Counts of trusted texts by shard; and words that are frequent in a chunk of any texts."""
-
-    def rows(kind: int, words: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        found = [(s, _pack(*c)) for s, c in _split(words, shards, *columns)]
-        return pa.record_batch([pa.array([s for s, _ in found], pa.int64()), pa.array([kind] * len(found), pa.int32()), pa.array([x for _, x in found], pa.binary())], ["shard", "kind", "data"])
+def _counted(shared):  # noqa: ANN001
+    """Triples of trusted texts, counted by chunk, for their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
-        frequent: dict[int, int] = {}
-        for batch in batches:
+        head = shared.value
+        for batch in gathered(batches, "text", CHUNK):
             for part in slices(batch, "text", CHUNK):
-                words, contexts, first = tokens(part.column("text"))
-                if not len(words):
-                    continue
-                distinct, n = np.unique(words, return_counts=True)
-                often = n > len(words) // HEAD
-                for w, k in zip(distinct[often].tolist(), n[often].tolist(), strict=True):
-                    frequent[w] = frequent.get(w, 0) + k
-                trusted = np.repeat(part.column("trusted").to_numpy(zero_copy_only=False), np.diff(first))
-                counts.add(words[trusted], contexts[trusted], np.ones(int(trusted.sum()), np.int64))
-            if len(counts.parts) == 1 and len(counts.parts[0][0]) > _BUFFER:
-                yield rows(0, *counts.parts[0])
-                counts = Counts()
-        held = counts.sum()
-        if len(held[0]):
-            yield rows(0, *held)
-        if frequent:
-            words = np.array(sorted(frequent), np.uint64)
-            yield rows(1, words, np.array([frequent[w] for w in words.tolist()]))
+                words, before, after, _ = tokens(part.column("text"), head)
+                words, before, after, n = _summed_up(words, before, after, np.ones(len(words), np.int64))
+                out = [(_TRIPLES, s, head.pack(s, *c)) for s, c in _split(head.shard_of(words, before), words, before, after, n)]
+                if out:
+                    yield _rows(*out)
 
     return run
 
 
-_SUMMED = "kind int, shard long, key long, a long, b long, c long, d long, data binary"
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows of one shard within a batch."""
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "data")), strict=True))
+        shard = np.array([r[0] for r in rows])
+        cuts = [*_runs(shard).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(shard[a]), rows[a:b]
+
+
+def _summed(shared):  # noqa: ANN001
+    """What other shards and the driver have to know of each shard's triples."""
+
+    def told(head: Head, grams: Grams) -> Iterator[pa.RecordBatch]:
+        out = [(_FIGURE, -1, _pack(_figures(grams, head)))]
+        low = grams.words < _RARE
+        out.append((_NUMBERS, -1, _pack(grams.words[low], grams.continued[low])))
+        # a rare word to all shards of the words before it
+        rare = (grams.second >= _RARE) & (grams.first != START)
+        word, n = grams.second[rare], grams.continued[np.searchsorted(grams.words, grams.second[rare])]
+        for s, columns in _split(*head.each(grams.first[rare], word, n)):
+            keys, at = np.unique(columns[0], return_index=True)
+            out.append((_WORDS, s, _pack_words(keys, n=columns[1][at])))
+        dealt = head.dealt_of(grams.one) > 1
+        one, two, n = (c[dealt] for c in (grams.one, grams.two, grams.pair_continued))
+        out += [(_PAIRS, s, _pack_words(*c[:2], n=c[2])) for s, c in _split(_shard(one, two, head.shards), one, two, n)]
+        yield _rows(*out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, last, counts = shared.value, None, Counts(3)
+        for shard, rows in _by_shard(batches):
+            if shard != last:
+                if last is not None:
+                    yield from told(head, Grams(*counts.sum()))
+                last, counts = shard, Counts(3)
+            for _, _, data in rows:
+                counts.add(*head.unpack(shard, data))
+        if last is not None:
+            yield from told(head, Grams(*counts.sum()))
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tables by shard (kind 0), figures (kind 1), and each task's most frequent words (kind 2)."""
-    figures: dict[int, np.ndarray] = {}
-    frequent: dict[int, int] = {}
-    shard, counts, common = None, Counts(), {}
+    return run
 
-    def table(kind: int, columns: list[list]) -> pa.RecordBatch:
-        types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip([[kind] * len(columns[0]), *columns], types, strict=True)], [f.split()[0] for f in _SUMMED.split(", ")])
 
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal frequent
-        words, contexts, n = counts.sum()
-        if len(words):
-            for key, row in _figures(Table(words, contexts, n)):
-                figures[key] = figures.get(key, 0) + np.array(row)
-            starts = _runs(words)
-            total = np.add.reduceat(n, starts)
-            for i in np.argsort(-total, kind="stable")[:HEAD].tolist():
-                w = int(words[starts[i]])
-                common[w] = max(common.get(w, 0), int(total[i]))
-            yield table(0, [[shard], *[[0]] * 5, [_pack(words, contexts, n)]])
-        frequent |= common
-        frequent = dict(sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:HEAD])
+def _paired(shared):  # noqa: ANN001
+    """Continuation counts of dealt out words' pairs, summed and sent to each of the words' shards."""
 
-    for batch in batches:
-        for s, kind, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "data")), strict=True):
-            if s != shard:
-                if shard is not None:
-                    yield from close()
-                shard, counts, common = s, Counts(), {}
-            found = _unpack(data)
-            if kind == 0:
-                counts.add(found[0], found[1].astype(np.int64), found[2].astype(np.int64))
-            else:
-                for w, n in zip(found[0].tolist(), found[1].tolist(), strict=True):
-                    common[w] = common.get(w, 0) + n
-                if len(common) > 64 * HEAD:
-                    common = dict(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: 32 * HEAD])
-    if shard is not None:
-        yield from close()
-        keys = sorted(figures)
-        yield table(1, [[0] * len(keys), keys, *(list(c) for c in zip(*(figures[k].tolist() for k in keys), strict=True)), [None] * len(keys)] if keys else [[]] * 7)
-        words = sorted(frequent)
-        zero = [0] * len(words)
-        yield table(2, [zero, np.array(words, np.uint64).view(np.int64).tolist(), [frequent[w] for w in words], zero, zero, zero, [None] * len(words)])
-
-
-def _only(words: np.ndarray):
-    """The counts of the given (sorted) words in tables."""
+    def told(head: Head, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        figures = np.zeros(_FIGURES, np.int64)
+        figures[4:8] = _counts_of(n)
+        out = [(_FIGURE, -1, _pack(figures))]
+        out += [(_PAIRS, s, _pack_words(*c[:2], n=c[2])) for s, c in _split(*head.each(one, one, two, n))]
+        return _rows(*out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                found = _unpack(data)
-                keep = np.isin(found[0], words)
-                if keep.any():
-                    yield pa.record_batch([pa.array([_pack(*(c[keep] for c in found))], pa.binary())], ["data"])
+        head, last, counts = shared.value, None, Counts(2)
+        for shard, rows in _by_shard(batches):
+            if shard != last:
+                if last is not None:
+                    yield told(head, *counts.sum())
+                last, counts = shard, Counts(2)
+            for _, _, data in rows:
+                counts.add(*_unpack_words(data))
+        if last is not None:
+            yield told(head, *counts.sum())
 
     return run
 
 
-_MESSAGES = "chunk long, shard long, kind int, data binary, ids array<long>, langs array<string>, sizes array<long>, sums array<double>"
-_MESSAGE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+_MESSAGES = _ROWS + ", ids array<long>, langs array<string>, sizes array<long>"
+_MESSAGE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
 
 
-def _messages(*rows: tuple) -> pa.RecordBatch:
-    names = [f.split()[0] for f in _MESSAGES.replace(", ", "\n").split("\n")]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MESSAGE_TYPES, strict=True)], names)
+def _batch(schema: str, types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
 
-def _asked(shards: int, shared):  # noqa: ANN001
-    """Messages of each chunk to the shards of its words (kind 1), and the chunk's documents (kind 2)."""
+def _asked(shared):  # noqa: ANN001
+    """Messages of each chunk's triples to their shards, and the chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value
+        head = shared.value
         number = 0
         for batch in gathered(batches, "text", CHUNK):
             for part in slices(batch, "text", CHUNK):
                 chunk = part.column("task")[0].as_py() << 32 | number
                 number += 1
-                words, contexts, first = tokens(part.column("text"))
-                distinct, rank = np.unique(words, return_inverse=True)
-                order = np.lexsort((distinct, _shard_of(distinct, shards)))
-                place = np.empty_like(order)
-                place[order] = np.arange(len(order))
-                distinct = distinct[order]
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                # by word, context and document
-                key = np.sort((place[rank] << 34) | contexts << 20 | doc)
-                starts = _runs(key)
-                key, n = key[starts], np.diff(np.append(starts, len(key)))
-                in_head = np.isin(distinct, head.words)
-                own = in_head[key >> 34]
-                sums = np.zeros(part.num_rows)
-                if own.any():
-                    context = key[own] >> 20 & (_STRIDE**2 - 1)
-                    log_p = model.log_p(head.counts(distinct[key[own] >> 34], context), context)
-                    sums = np.bincount(key[own] & 0xFFFFF, n[own] * log_p, part.num_rows)
-                key, n = key[~own], n[~own]
-                yield _messages((chunk, -1, 2, None, part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), np.diff(first).tolist(), sums.tolist()))
-                shard = _shard_of(distinct[key >> 34], shards)
-                cuts = [*_runs(shard).tolist(), len(key)]
-                out = []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    by_context, by_word = _runs(key[a:b] >> 20), _runs(key[a:b] >> 34)
-                    at = key[a:b][by_context]
-                    data = _pack(
-                        np.diff(distinct[key[a:b][by_word] >> 34], prepend=U(0)), np.diff(np.append(_runs(at >> 34), len(at))),
-                        at >> 20 & (_STRIDE**2 - 1), np.diff(np.append(by_context, b - a)), key[a:b] & 0xFFFFF, n[a:b],
-                    )
-                    out.append((chunk, int(shard[a]), 1, data, None, None, None, None))
-                if out:
-                    yield _messages(*out)
+                words, before, after, first = tokens(part.column("text"), head)
+                sizes = np.diff(first)
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                out = [(_DOCS, -1, chunk, None, part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), sizes.tolist())]
+                trusted = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
+                for kind, own in ((_TRIPLES, trusted), (_ASKED, ~trusted)):
+                    for s, c in _split(*(x[own] for x in (head.shard_of(words, before), words, before, after, doc))):
+                        out.append((kind, s, chunk, head.pack(s, *c[:3], np.bincount(c[3])), None, None, None))
+                yield _batch(_MESSAGES, _MESSAGE_TYPES, out)
 
     return run
 
 
-_ANSWERS = "chunk long, shard long, ids array<long>, langs array<string>, sizes array<long>, sums array<double>, docs binary, parts binary"
-_ANSWER_TYPES = [*_MESSAGE_TYPES[:2], *_MESSAGE_TYPES[4:], pa.binary(), pa.binary()]
+_ANSWERS = "chunk long, shard long, ids array<long>, langs array<string>, sizes array<long>, docs binary, parts binary"
+_ANSWER_TYPES = [pa.int64(), pa.int64(), *_MESSAGE_TYPES[4:], pa.binary(), pa.binary()]
 
 
-def _answered(shared):  # noqa: ANN001
-    """Sums of each message's documents by its shard's table, which comes before the shard's messages."""
+def _answered(shared, model_of):  # noqa: ANN001
+    """Sums of each message's documents by its shard's table, whose rows and trusted texts come before other messages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = shared.value
-        none = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        last, table = None, none
+        head, model = shared.value, model_of.value
+        last, table, parts, held = None, None, {}, []
+
+        def begin() -> Table:
+            return Table(model, head, Grams(*parts[_TRIPLES].sum()), parts[_WORDS].sum(), parts[_PAIRS].sum())
+
+        def answer(chunk: int, data: bytes) -> tuple:
+            *triples, n = head.unpack(last, data)
+            some = np.flatnonzero(n)
+            sums = np.add.reduceat(table.log_p(*triples), np.cumsum(n[some]) - n[some])
+            return chunk, last, None, None, None, _pack(np.diff(some, prepend=0)), sums.astype("<f4").tobytes()
+
         for batch in batches:
             out = []
-            for chunk, shard, kind, data, *documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 2:
+            for kind, shard, chunk, data, *documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == _DOCS:
                     out.append((chunk, shard, *documents, None, None))
                     continue
                 if shard != last:
-                    last, table = shard, none
-                if kind == 0:
-                    words, contexts, n = _unpack(data)
-                    table = Table(words, contexts.astype(np.int64), n.astype(np.int64))
-                    continue
-                deltas, contexts_of, contexts, docs_of, doc, n = _unpack(data)
-                words = np.repeat(np.cumsum(deltas, dtype=np.uint64), contexts_of.astype(np.int64))
-                contexts = contexts.astype(np.int64)
-                log_p = np.repeat(model.log_p(table.counts(words, contexts), contexts), docs_of.astype(np.int64))
-                doc = doc.astype(np.int64)
-                some = np.flatnonzero(np.bincount(doc))
-                out.append((chunk, shard, *[None] * 4, some.astype("<u4").tobytes(), np.bincount(doc, n * log_p)[some].astype("<f4").tobytes()))
+                    if held:
+                        table = begin()
+                        out += [answer(*x) for x in held]
+                    last, table, parts, held = shard, None, {_TRIPLES: Counts(3), _WORDS: Counts(1), _PAIRS: Counts(2)}, []
+                if kind == _TRIPLES:
+                    *triples, n = head.unpack(shard, data)
+                    parts[kind].add(*triples, np.ones(len(triples[0]), np.int64))
+                    held.append((chunk, data))
+                elif kind == _ASKED:
+                    if table is None:
+                        table = begin()
+                        out += [answer(*x) for x in held]
+                        held = []
+                    out.append(answer(chunk, data))
+                else:
+                    parts[kind].add(*_unpack_words(data))
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWER_TYPES, strict=True)], [f.split()[0] for f in _ANSWERS.split(", ")])
+                yield _batch(_ANSWERS, _ANSWER_TYPES, out)
+        if held:
+            table = begin()
+            yield _batch(_ANSWERS, _ANSWER_TYPES, [answer(*x) for x in held])
 
     return run
 
@@ -423,44 +616,56 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.float64())], ["doc_id", "lang", "perplexity"])
 
     for batch in batches:
-        for _, _, ids, langs, sizes, sums, docs, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, _, ids, langs, sizes, docs, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if ids is not None:
                 if held is not None:
                     yield close()
-                held = ids, langs, sizes, np.array(sums)
+                held = ids, langs, sizes, np.zeros(len(ids))
             else:
-                held[3][np.frombuffer(docs, "<u4")] += np.frombuffer(parts, "<f4")
+                held[3][np.cumsum(_unpack(docs)[0])] += np.frombuffer(parts, "<f4")
     if held is not None:
         yield close()
 
 
-def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """(doc_id, lang, perplexity) of each row of docs (doc_id, lang, text, trusted), by the model of the trusted texts."""
+def perplexities(docs: DataFrame, shards: int | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, perplexity) of each row of docs (doc_id, lang, text, trusted), by the model of the trusted texts.
+
+    texts: the same texts, if they can be had at less cost.
+    """
     spark = session_for(docs)
     parts = shuffle_partitions(spark)
+    found = (docs if texts is None else texts).select("text").mapInArrow(_frequent, "word long, n long, size long")
+    found = cut(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    total, size = next(iter(found.where("word is null").select("n", "size").collect()), (0, 0))
     if shards is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(parts, -(-size // SHARD))
-    counted = docs.select("text", "trusted").mapInArrow(_counted(shards), "shard long, kind int, data binary")
-    summed = cut(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_summed, _SUMMED))
-    rows = summed.where("kind = 1").groupBy("key").agg(*[F.sum(c) for c in "abcd"]).collect()
-    if not rows:
+    named = found.where("word is not null")
+    by_n = sorted(named.groupBy("n").count().collect(), reverse=True)  # their number grows with the root of the words'
+    least = next((r[0] + 1 for r, words in zip(by_n, np.cumsum([r[1] for r in by_n]), strict=True) if words > HEAD), 0)
+    often = named.where(F.col("n") >= least).select("word", "n").toArrow()
+    head = Head.of(*(often.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(t) for c, t in (("word", U), ("n", np.int64))), total, shards)
+    shared = spark.sparkContext.broadcast(head)
+    counted = docs.where("trusted").select("text").mapInArrow(_counted(shared), _ROWS)
+    rows = cut(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_summed(shared), _ROWS))
+    told = rows.where(F.col("kind") == _WORDS)
+    figures = [r[0] for r in rows.where(F.col("kind") == _FIGURE).select("data").collect()]
+    if not figures:
         return docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
-    model = model_of({r[0]: tuple(r)[1:] for r in rows})
-    frequent = summed.where("kind = 2").orderBy(F.desc("a"), "key").limit(HEAD).select("key").collect()
-    words = np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
-    tables = summed.where("kind = 0")
-    counts = Counts()
-    for r in tables.select("data").mapInArrow(_only(words), "data binary").collect():
-        found = _unpack(r[0])
-        counts.add(found[0], found[1].astype(np.int64), found[2].astype(np.int64))
-    shared = spark.sparkContext.broadcast((model, Table(*counts.sum(), words)))  # the head may hold words of no trusted text
-    asked = docs.select("doc_id", "lang", "text", F.spark_partition_id().cast("long").alias("task")).mapInArrow(_asked(shards, shared), _MESSAGES)
-    none = F.lit(None)
-    asked = asked.unionByName(tables.select(F.lit(-1).cast("long").alias("chunk"), "shard", "kind", "data", none.alias("ids"), none.alias("langs"), none.alias("sizes"), none.alias("sums")))
+    if (head.dealt > 1).any():
+        pairs = rows.where(F.col("kind") == _PAIRS).repartition(parts, "shard").sortWithinPartitions("shard")
+        pairs = cut(pairs.mapInArrow(_paired(shared), _ROWS))
+        figures += [r[0] for r in pairs.where(F.col("kind") == _FIGURE).select("data").collect()]
+        told = told.unionByName(pairs.where(F.col("kind") == _PAIRS))
+    continued = np.zeros(len(head.dealt), np.int64)
+    for r in rows.where(F.col("kind") == _NUMBERS).select("data").collect():
+        numbers, n = _unpack(r[0])
+        continued[numbers] += n
+    model = spark.sparkContext.broadcast(Model(sum(_unpack(x)[0] for x in figures), continued))
+    asked = docs.select("doc_id", "lang", "text", "trusted", F.spark_partition_id().cast("long").alias("task")).mapInArrow(_asked(shared), _MESSAGES)
+    asked = asked.unionByName(told, allowMissingColumns=True)
     # rows of documents only pass through here, so any partition will do
-    dealt = asked.withColumn("dealt", F.when(F.col("kind") == 2, F.xxhash64("chunk")).otherwise(F.col("shard")))
-    answered = dealt.repartition(parts, "dealt").drop("dealt").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(_answered(shared), _ANSWERS)
+    dealt = asked.withColumn("dealt", F.when(F.col("kind") == _DOCS, F.xxhash64("chunk")).otherwise(F.col("shard")))
+    answered = dealt.repartition(parts, "dealt").drop("dealt").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(_answered(shared, model), _ANSWERS)
     return answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_added, "doc_id long, lang string, perplexity double")
 
 
@@ -487,7 +692,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sent
     good = cut(good)
     rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
     fold = F.crc32(F.col("_id").cast("string")) % 3
-    scored = cut(perplexities(marked(rows, good.where(fold != 1), "_id", "trusted", sent)))
+    scored = cut(perplexities(marked(rows, good.where(fold != 1), "_id", "trusted", sent), texts=rows))
     known = scored.join(good.where(fold == 1), F.col("doc_id") == F.col("_id"), "left_semi")
     limit = F.percentile_approx("perplexity", quantile, 10_000) * MARGIN
     by_lang = known.groupBy("lang").agg(limit.alias("_limit")).withColumnRenamed("lang", "_lang")

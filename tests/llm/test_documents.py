@@ -488,7 +488,7 @@ def _perplexity(trusted, text):
 
     def grams(t):
         found = textcols.word_hashes(*textcols.text_bytes(pa.array([t])))[0].tolist()
-        kinds = [quality.CLASSES] * 2 + [w >> 58 for w in found]
+        kinds = [None, None, *found]
         return [(kinds[i], kinds[i + 1], w) for i, w in enumerate(found)]
 
     levels = {3: collections.Counter(g for t in trusted for g in grams(t))}
@@ -535,6 +535,33 @@ def test_quality_against_brute_force(spark, monkeypatch, head):
         assert found[i] is None if expected is None else abs(found[i] / expected - 1) < 1e-5
 
 
+def test_quality_tells_all_words_before_apart(spark):
+    """Two words before whose hashes begin with the same six bits."""
+    words_of = [f"w{i}" for i in range(200)]
+    kinds = (textcols.word_hashes(*textcols.text_bytes(pa.array(words_of)))[0] >> np.uint64(58)).tolist()
+    one, two = next((a, b) for i, a in enumerate(words_of) for j, b in enumerate(words_of) if i < j and kinds[i] == kinds[j])
+    trusted = [f"{one} red", f"{two} blue"] * 5 + ["red blue", f"blue {one} {two} red"]
+    texts = [*trusted, f"{one} blue", f"{two} blue"]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r[0]: r[2] for r in quality.perplexities(docs.withColumn("trusted", docs["doc_id"] < len(trusted))).collect()}
+    assert found[12] > 1.2 * found[13]
+    for i, t in enumerate(texts):
+        assert abs(found[i] / _perplexity(trusted, t) - 1) < 1e-5
+
+
+def test_quality_deals_out_frequent_words(spark):
+    """Words that many shards have a part of, before, between and after others, with texts that are one word."""
+    rng = np.random.default_rng(9)
+    share = np.array([8.0, 4.0, 2.0, *[0.2] * 40])
+    words_of = ["the", "of", "and", *(f"w{i}" for i in range(40))]
+    trusted = ["the", "the of", "of the the", *(" ".join(rng.choice(words_of, 40, p=share / share.sum())) for _ in range(12))]
+    texts = [*trusted, "the " * 50, "of and the", "new the of new", *(" ".join(rng.choice([*words_of, "new"], 60)) for _ in range(6))]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r[0]: r[2] for r in quality.perplexities(docs.withColumn("trusted", docs["doc_id"] < len(trusted)), shards=40).collect()}
+    for i, t in enumerate(texts):
+        assert abs(found[i] / _perplexity(trusted, t) - 1) < 1e-5
+
+
 def test_quality_thresholds(spark):
     """Quantile by language of the held-out trusted, times the margin; ids sent and joined give the same."""
     rng = np.random.default_rng(7)
