@@ -56,7 +56,7 @@ from lexgrove.llm.textcols import U, gathered, mix, slices, text_bytes, word_has
 QUANTILE = 0.99
 MARGIN = 1.25
 #: So many of the most frequent words at most get a number, which shortens messages; results don't depend on it.
-HEAD = 1 << 19
+HEAD = 1 << 20
 #: Trusted ids that are sent to all tasks at most (8 bytes each); more are joined by shuffling.
 SENT_IDS = 2_000_000
 #: Text bytes for a shard, and of a chunk of documents, about.
@@ -69,23 +69,47 @@ _TURN = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, in as few byte planes as they need, compressed."""
+    """Columns of whole numbers, compressed.
+
+    Numbers below 2**24 become a byte of their length in bits and their first four bits, and the
+    other bits on end; columns with larger ones become byte planes.
+    """
     out = []
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for column in columns:
-        width = max(1, -(-int(column.max()).bit_length() // 8)) if len(column) else 1
-        planes = column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        out += [struct.pack("<IB", len(column), width), planes.T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+        bits = int(column.max()).bit_length() if len(column) else 0
+        if bits > 24:
+            width = -(-bits // 8)
+            planes = column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+            out.append((width, squeeze(planes.T.tobytes()), b""))
+        else:
+            more = np.maximum(np.frexp(column.astype(np.float64))[1] - 4, 0)
+            first = ((column >> more) + 8 * more).astype(np.uint8)
+            rest = [np.packbits((column[more > k] >> k & 1).astype(np.uint8)).tobytes() for k in range(bits - 4)]
+            out.append((0, squeeze(first.tobytes()), b"".join(rest)))
+    return b"".join(struct.pack("<IBI", len(c), width, len(a)) + a + b for c, (width, a, b) in zip(columns, out, strict=True))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        size, width = struct.unpack_from("<IB", raw, at)
-        planes = np.zeros((size, 8), np.uint8)
-        planes[:, :width] = np.frombuffer(raw, np.uint8, size * width, at + 5).reshape(width, size).T
-        out.append(planes.view("<i8").ravel())
-        at += 5 + size * width
+    at, out = 0, []
+    loosen = zstandard.ZstdDecompressor().decompress
+    while at < len(data):
+        size, width, length = struct.unpack_from("<IBI", data, at)
+        at += 9 + length
+        raw = np.frombuffer(loosen(data[at - length : at]), np.uint8)
+        if width:
+            planes = np.zeros((size, 8), np.uint8)
+            planes[:, :width] = raw.reshape(width, size).T
+            out.append(planes.view("<i8").ravel())
+        else:
+            more = np.maximum((raw.astype(np.int64) >> 3) - 1, 0)
+            column = raw - 8 * more << more
+            for k in range(int(more.max()) if size else 0):
+                where = np.flatnonzero(more > k)
+                to = at + -(-len(where) // 8)
+                column[where] |= np.unpackbits(np.frombuffer(data, np.uint8, to - at, at), count=len(where)).astype(np.int64) << k
+                at = to
+            out.append(column)
     return out
 
 
@@ -105,6 +129,20 @@ def _unpack_words(data: bytes) -> list[np.ndarray]:
     return [*rest[::2], n]
 
 
+def _steps(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words that are in order within runs, as steps from the one before, and one; rare words stay."""
+    before = np.concatenate([np.zeros(1, np.int64), words[:-1]])[: len(words)]
+    before[starts] = 0
+    return np.where(words < _RARE, words - before + 1, words)
+
+
+def _walked(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    step = np.where(steps < _RARE, steps - 1, 0)
+    place = np.cumsum(step)
+    begin = np.repeat(place[starts] - step[starts], _sizes(starts, steps))
+    return np.where(steps < _RARE, place - begin, steps)
+
+
 @dataclass
 class Head:
     """Hashes of the numbered words (sorted), their numbers, and into how many shards each number's word is dealt."""
@@ -157,16 +195,36 @@ class Head:
         order = order[_runs(of[order], shard[order])]  # two parts may be in one shard
         return [shard[order], *(c[of[order]] for c in columns)]
 
-    def pack(self, shard: int, words: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> bytes:
-        """A shard's triples, whose middle words are numbered among the shard's."""
-        place = np.where(words < _RARE, np.searchsorted(self.numbers_in(shard), words) + 1, words)
-        return _pack_words(place, before, after, n=n)
+    def places(self, shard: int, words: np.ndarray) -> np.ndarray:
+        """Numbered words by their place among a shard's."""
+        return np.where(words < _RARE, np.searchsorted(self.numbers_in(shard), words), words)
+
+    def words_at(self, shard: int, places: np.ndarray) -> np.ndarray:
+        numbered = places < _RARE
+        places[numbered] = self.numbers_in(shard)[places[numbered]]
+        return places
+
+    def pack_counts(self, shard: int, words: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> bytes:
+        """A shard's triples, in order, with their counts."""
+        return _pack_words(_steps(self.places(shard, words), _FIRST[: len(words)]), _steps(before, _runs(words)), after, n=n)
+
+    def unpack_counts(self, shard: int, data: bytes) -> list[np.ndarray]:
+        words, before, after, n = _unpack_words(data)
+        words = self.words_at(shard, _walked(words, _FIRST[: len(words)]))
+        return [words, _walked(before, _runs(words)), after, n]
 
-    def unpack(self, shard: int, data: bytes) -> list[np.ndarray]:
-        place, *rest = _unpack_words(data)
-        numbered = place < _RARE
-        place[numbered] = self.numbers_in(shard)[place[numbered] - 1]
-        return [place, *rest]
+    def pack_texts(self, shard: int, words: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray) -> bytes:
+        """A shard's triples of documents, with each document's number of them."""
+        order = np.lexsort((words, doc))
+        return _pack_words(_steps(self.places(shard, words[order]), _runs(doc)), before[order], after[order], n=np.bincount(doc))
+
+    def unpack_texts(self, shard: int, data: bytes) -> list[np.ndarray]:
+        steps, before, after, n = _unpack_words(data)
+        some = n[n > 0]
+        return [self.words_at(shard, _walked(steps, np.cumsum(some) - some)), before, after, n]
+
+
+_FIRST = np.zeros(1, np.int64)
 
 
 def _shard(words: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
@@ -415,8 +473,35 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, n = counts.sum()
                 counts.parts, counts.held = [[words[n > 1], n[n > 1]]], int((n > 1).sum())
     words, n = counts.sum()
-    often = n > 2
-    yield pa.record_batch([pa.array([*words[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), total], pa.int64()), pa.array([0] * int(often.sum()) + [size], pa.int64())], ["word", "n", "size"])
+    words, n = words[n > 1].view(U), n[n > 1]
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    out = [(-1, _pack(np.array([total]), np.array([size])))]
+    for s, (own, times) in _split((words >> U(56)).astype(np.int64), words, n):
+        out.append((s, _pack(np.diff(own & U((1 << 56) - 1), prepend=U(0)).astype(np.int64), times)))
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], ["shard", "data"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' words, with their sums; and a null with the sums of all words and bytes."""
+    last, counts, totals = None, Counts(1), np.zeros(2, np.int64)
+
+    def told() -> pa.RecordBatch:
+        words, n = counts.sum()
+        return pa.record_batch([pa.array(words), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["word", "n", "size"])
+
+    for batch in batches:
+        for s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one, two = _unpack(data)
+            if s < 0:
+                totals += [one[0], two[0]]
+                continue
+            if s != last:
+                yield told()
+                last, counts = s, Counts(1)
+            counts.add(np.cumsum(one) | (s if s < 128 else s - 256) << 56, two)
+    yield told()
+    yield pa.record_batch([pa.array([None], pa.int64()), pa.array(totals[:1]), pa.array(totals[1:])], ["word", "n", "size"])
 
 
 _ROWS = "kind int, shard long, chunk long, data binary"
@@ -448,7 +533,7 @@ def _counted(shared):  # noqa: ANN001
             for part in slices(batch, "text", CHUNK):
                 words, before, after, _ = tokens(part.column("text"), head)
                 words, before, after, n = _summed_up(words, before, after, np.ones(len(words), np.int64))
-                out = [(_TRIPLES, s, head.pack(s, *c)) for s, c in _split(head.shard_of(words, before), words, before, after, n)]
+                out = [(_TRIPLES, s, head.pack_counts(s, *c)) for s, c in _split(head.shard_of(words, before), words, before, after, n)]
                 if out:
                     yield _rows(*out)
 
@@ -491,7 +576,7 @@ def _summed(shared):  # noqa: ANN001
                     yield from told(head, Grams(*counts.sum()))
                 last, counts = shard, Counts(3)
             for _, _, data in rows:
-                counts.add(*head.unpack(shard, data))
+                counts.add(*head.unpack_counts(shard, data))
         if last is not None:
             yield from told(head, Grams(*counts.sum()))
 
@@ -548,7 +633,7 @@ def _asked(shared):  # noqa: ANN001
                 trusted = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
                 for kind, own in ((_TRIPLES, trusted), (_ASKED, ~trusted)):
                     for s, c in _split(*(x[own] for x in (head.shard_of(words, before), words, before, after, doc))):
-                        out.append((kind, s, chunk, head.pack(s, *c[:3], np.bincount(c[3])), None, None, None))
+                        out.append((kind, s, chunk, head.pack_texts(s, *c), None, None, None))
                 yield _batch(_MESSAGES, _MESSAGE_TYPES, out)
 
     return run
@@ -569,7 +654,7 @@ def _answered(shared, model_of):  # noqa: ANN001
             return Table(model, head, Grams(*parts[_TRIPLES].sum()), parts[_WORDS].sum(), parts[_PAIRS].sum())
 
         def answer(chunk: int, data: bytes) -> tuple:
-            *triples, n = head.unpack(last, data)
+            *triples, n = head.unpack_texts(last, data)
             some = np.flatnonzero(n)
             sums = np.add.reduceat(table.log_p(*triples), np.cumsum(n[some]) - n[some])
             return chunk, last, None, None, None, _pack(np.diff(some, prepend=0)), sums.astype("<f4").tobytes()
@@ -586,7 +671,7 @@ def _answered(shared, model_of):  # noqa: ANN001
                         out += [answer(*x) for x in held]
                     last, table, parts, held = shard, None, {_TRIPLES: Counts(3), _WORDS: Counts(1), _PAIRS: Counts(2)}, []
                 if kind == _TRIPLES:
-                    *triples, n = head.unpack(shard, data)
+                    *triples, n = head.unpack_texts(shard, data)
                     parts[kind].add(*triples, np.ones(len(triples[0]), np.int64))
                     held.append((chunk, data))
                 elif kind == _ASKED:
@@ -634,9 +719,9 @@ def perplexities(docs: DataFrame, shards: int | None = None, texts: DataFrame |
     """
     spark = session_for(docs)
     parts = shuffle_partitions(spark)
-    found = (docs if texts is None else texts).select("text").mapInArrow(_frequent, "word long, n long, size long")
-    found = cut(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
-    total, size = next(iter(found.where("word is null").select("n", "size").collect()), (0, 0))
+    found = (docs if texts is None else texts).select("text").mapInArrow(_frequent, "shard long, data binary")
+    found = cut(found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_frequencies, "word long, n long, size long"))
+    total, size = (x or 0 for x in found.where("word is null").agg(F.sum("n"), F.sum("size")).first())
     if shards is None:
         shards = max(parts, -(-size // SHARD))
     named = found.where("word is not null")
