@@ -5,8 +5,8 @@ words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, its order is three: a word
 the two words before it (two starts before a text's first word), then from the one before it,
 then from nothing, and at last as an unknown word, one over the vocabulary and one more.
 
-A word is known by its 64-bit hash. In all that is sent, the HEAD most frequent words have a short
-number instead, and others 48 bits of their hash. Each place
+A word is known by 48 bits of its hash. In all that is sent, the HEAD most frequent words have a
+short number instead. Each place
 of a text is one triple: its word with the words before and after. Triples are sharded by their
 middle word; a word so frequent that it would fill a shard is dealt out further by the word
 before. So one shard holds all counts of a pair of words and of what follows it, and of a word
@@ -71,21 +71,24 @@ _TURN = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers, compressed.
 
-    Numbers below 2**24 become a byte of their length in bits and their first four bits, and the
+    Numbers below 2**32 become a byte of their length in bits and their first four bits, and the
     other bits on end; columns with larger ones become byte planes.
     """
     out = []
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for column in columns:
         bits = int(column.max()).bit_length() if len(column) else 0
-        if bits > 24:
+        if bits > 32:
             width = -(-bits // 8)
             planes = column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
             out.append((width, squeeze(planes.T.tobytes()), b""))
         else:
             more = np.maximum(np.frexp(column.astype(np.float64))[1] - 4, 0)
             first = ((column >> more) + 8 * more).astype(np.uint8)
-            rest = [np.packbits((column[more > k] >> k & 1).astype(np.uint8)).tobytes() for k in range(bits - 4)]
+            rest = [(column[more >= k + 8] >> k).astype(np.uint8).tobytes() for k in range(0, bits - 11, 8)]
+            left = more & 7
+            over = column >> (more - left)
+            rest += [np.packbits((over[left > k] >> k & 1).astype(np.uint8)).tobytes() for k in range(7)]
             out.append((0, squeeze(first.tobytes()), b"".join(rest)))
     return b"".join(struct.pack("<IBI", len(c), width, len(a)) + a + b for c, (width, a, b) in zip(columns, out, strict=True))
 
@@ -104,11 +107,18 @@ def _unpack(data: bytes) -> list[np.ndarray]:
         else:
             more = np.maximum((raw.astype(np.int64) >> 3) - 1, 0)
             column = raw - 8 * more << more
-            for k in range(int(more.max()) if size else 0):
-                where = np.flatnonzero(more > k)
+            for k in range(0, int(more.max()) - 7 if size else 0, 8):
+                where = np.flatnonzero(more >= k + 8)
+                column[where] |= np.frombuffer(data, np.uint8, len(where), at).astype(np.int64) << k
+                at += len(where)
+            left = more & 7
+            over = np.zeros(size, np.uint8)
+            for k in range(7):
+                where = np.flatnonzero(left > k)
                 to = at + -(-len(where) // 8)
-                column[where] |= np.unpackbits(np.frombuffer(data, np.uint8, to - at, at), count=len(where)).astype(np.int64) << k
+                over[where] |= np.unpackbits(np.frombuffer(data, np.uint8, to - at, at), count=len(where)) << k
                 at = to
+            column |= over.astype(np.int64) << (more - left)
             out.append(column)
     return out
 
@@ -143,9 +153,13 @@ def _walked(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(steps < _RARE, place - begin, steps)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(16)).astype(np.int64)
+
+
 @dataclass
 class Head:
-    """Hashes of the numbered words (sorted), their numbers, and into how many shards each number's word is dealt."""
+    """48-bit hashes of the numbered words (sorted), their numbers, and into how many shards each number's word is dealt."""
 
     hashes: np.ndarray
     numbers: np.ndarray
@@ -171,11 +185,9 @@ class Head:
         return numbers[starts[shard] : starts[shard + 1]]
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
-        out = (hashes >> U(16)).astype(np.int64) + _RARE
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == hashes, self.numbers[at], out)
-        return out
+        hashes = _short(hashes)
+        at, there = _find(self.hashes, hashes)
+        return np.where(there, self.numbers[at], hashes + _RARE) if len(self.hashes) else hashes + _RARE
 
     def dealt_of(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < _RARE, self.dealt[np.where(words < _RARE, words, 0)], 1)
@@ -466,19 +478,17 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", CHUNK):
             data, offsets = text_bytes(part.column("text"))
-            words, n = np.unique(word_hashes(data, offsets)[0].view(np.int64), return_counts=True)
+            words, n = np.unique(_short(word_hashes(data, offsets)[0]), return_counts=True)
             total, size = total + int(n.sum()), size + len(data)
             counts.add(words, n)
             if counts.held > 4 * _BUFFER:  # a word may lose some of its count, which only lengthens messages
                 words, n = counts.sum()
                 counts.parts, counts.held = [[words[n > 1], n[n > 1]]], int((n > 1).sum())
     words, n = counts.sum()
-    words, n = words[n > 1].view(U), n[n > 1]
-    order = np.argsort(words)
-    words, n = words[order], n[order]
+    words, n = words[n > 1], n[n > 1]
     out = [(-1, _pack(np.array([total]), np.array([size])))]
-    for s, (own, times) in _split((words >> U(56)).astype(np.int64), words, n):
-        out.append((s, _pack(np.diff(own & U((1 << 56) - 1), prepend=U(0)).astype(np.int64), times)))
+    for s, (own, times) in _split(words >> 42, words, n):
+        out.append((s, _pack(np.diff(own, prepend=s << 42), times)))
     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], ["shard", "data"])
 
 
@@ -499,7 +509,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != last:
                 yield told()
                 last, counts = s, Counts(1)
-            counts.add(np.cumsum(one) | (s if s < 128 else s - 256) << 56, two)
+            counts.add(np.cumsum(one) + (s << 42), two)
     yield told()
     yield pa.record_batch([pa.array([None], pa.int64()), pa.array(totals[:1]), pa.array(totals[1:])], ["word", "n", "size"])
 
@@ -626,6 +636,8 @@ def _asked(shared):  # noqa: ANN001
             for part in slices(batch, "text", CHUNK):
                 chunk = part.column("task")[0].as_py() << 32 | number
                 number += 1
+                # trusted documents first, which shortens the numbers of documents
+                part = part.take(np.argsort(~part.column("trusted").to_numpy(zero_copy_only=False), kind="stable"))
                 words, before, after, first = tokens(part.column("text"), head)
                 sizes = np.diff(first)
                 doc = np.repeat(np.arange(part.num_rows), sizes)
@@ -639,8 +651,9 @@ def _asked(shared):  # noqa: ANN001
     return run
 
 
-_ANSWERS = "chunk long, shard long, ids array<long>, langs array<string>, sizes array<long>, docs binary, parts binary"
-_ANSWER_TYPES = [pa.int64(), pa.int64(), *_MESSAGE_TYPES[4:], pa.binary(), pa.binary()]
+_ANSWERS = "chunk long, shard long, ids array<long>, langs array<string>, sizes array<long>, data binary"
+_ANSWER_TYPES = [pa.int64(), pa.int64(), *_MESSAGE_TYPES[4:], pa.binary()]
+_UNIT = 1 << 17  # sums of log probabilities are sent in units of one over this
 
 
 def _answered(shared, model_of):  # noqa: ANN001
@@ -657,13 +670,13 @@ def _answered(shared, model_of):  # noqa: ANN001
             *triples, n = head.unpack_texts(last, data)
             some = np.flatnonzero(n)
             sums = np.add.reduceat(table.log_p(*triples), np.cumsum(n[some]) - n[some])
-            return chunk, last, None, None, None, _pack(np.diff(some, prepend=0)), sums.astype("<f4").tobytes()
+            return chunk, last, None, None, None, _pack(np.diff(some, prepend=0), np.rint(sums * -_UNIT).astype(np.int64))
 
         for batch in batches:
             out = []
             for kind, shard, chunk, data, *documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _DOCS:
-                    out.append((chunk, shard, *documents, None, None))
+                    out.append((chunk, shard, *documents, None))
                     continue
                 if shard != last:
                     if held:
@@ -701,13 +714,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.float64())], ["doc_id", "lang", "perplexity"])
 
     for batch in batches:
-        for _, _, ids, langs, sizes, docs, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, _, ids, langs, sizes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if ids is not None:
                 if held is not None:
                     yield close()
                 held = ids, langs, sizes, np.zeros(len(ids))
             else:
-                held[3][np.cumsum(_unpack(docs)[0])] += np.frombuffer(parts, "<f4")
+                steps, parts = _unpack(data)
+                held[3][np.cumsum(steps)] -= parts / _UNIT
     if held is not None:
         yield close()
 
@@ -728,7 +742,7 @@ def perplexities(docs: DataFrame, shards: int | None = None, texts: DataFrame |
     by_n = sorted(named.groupBy("n").count().collect(), reverse=True)  # their number grows with the root of the words'
     least = next((r[0] + 1 for r, words in zip(by_n, np.cumsum([r[1] for r in by_n]), strict=True) if words > HEAD), 0)
     often = named.where(F.col("n") >= least).select("word", "n").toArrow()
-    head = Head.of(*(often.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(t) for c, t in (("word", U), ("n", np.int64))), total, shards)
+    head = Head.of(*(often.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "n")), total, shards)
     shared = spark.sparkContext.broadcast(head)
     counted = docs.where("trusted").select("text").mapInArrow(_counted(shared), _ROWS)
     rows = cut(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_summed(shared), _ROWS))
@@ -778,7 +792,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sent
     rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
     fold = F.crc32(F.col("_id").cast("string")) % 3
     scored = cut(perplexities(marked(rows, good.where(fold != 1), "_id", "trusted", sent), texts=rows))
-    known = scored.join(good.where(fold == 1), F.col("doc_id") == F.col("_id"), "left_semi")
+    known = marked(scored, good.where(fold == 1), "_id", "held_out", sent).where("held_out")
     limit = F.percentile_approx("perplexity", quantile, 10_000) * MARGIN
     by_lang = known.groupBy("lang").agg(limit.alias("_limit")).withColumnRenamed("lang", "_lang")
     overall = known.agg(limit.alias("_all"))
