@@ -27,6 +27,11 @@ adds the probability of its last word after the others or, if the model doesn't
 the weights of backing off; and the probability of its middle word alone, if the model doesn't
 have that word after the first. No text is shuffled.
 
+All words that no trusted text has are alike to the model, so in other texts they are sent as one,
+and their own triples, which add what any such word adds, aren't sent: tasks add them. Numbered
+words are known to be such by their counts; rare words by a bitmap of the trusted ones, of at most
+KNOWN bits. A word that shares its bit with a trusted one is sent as it is.
+
 The model learns from two thirds of the trusted documents, by crc32 of their id. A document is
 kept if its perplexity is at most MARGIN times the QUANTILE of the other trusted documents of
 its language; a language without those takes the quantile over all of them.
@@ -59,11 +64,13 @@ MARGIN = 1.25
 HEAD = 1 << 20
 #: Trusted ids that are sent to all tasks at most (8 bytes each); more are joined by shuffling.
 SENT_IDS = 2_000_000
+#: Bits at most that tell tasks which rare words trusted texts have; results don't depend on it.
+KNOWN = 1 << 26
 #: Text bytes for a shard, and of a chunk of documents, about.
 SHARD = 48 << 20
 CHUNK = 8 << 20
-#: Words: the start and end of a text, numbered words, 48 bits of a hash.
-START, END, _NUMBERED, _RARE = 1, 2, 3, 1 << 48
+#: Words: the start and end of a text, any that no trusted text has, numbered words, 48 bits of a hash.
+START, END, UNKNOWN, _NUMBERED, _RARE = 1, 2, 3, 4, 1 << 48
 _BUFFER = 1_000_000  # counts that are held before they are summed
 _TURN = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
@@ -386,6 +393,41 @@ class Model:
         return n - discounts[np.minimum(n, 3)]
 
 
+def _bits(rare: np.ndarray, most: int) -> bytes:
+    """A bitmap of a shard's rare words, of 32 bits for each, but of ``most`` bits at most."""
+    size = max(min(32 * len(rare), most) // 8, 1)
+    bits = np.zeros(8 * size, np.uint8)
+    bits[(rare - _RARE) % len(bits)] = 1
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())
+
+
+class Known:
+    """Which words trusted texts have, and what each other word adds to its text.
+
+    Of rare words, some others that share a bit count as known.
+    """
+
+    def __init__(self, model: Model, continued: np.ndarray, slices_of: dict[int, bytes], shards: int) -> None:
+        """continued: of each numbered word; slices_of: each shard's bitmap."""
+        self.numbered = continued > 0
+        self.numbered[:_NUMBERED] = True
+        loosen = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(loosen(slices_of[s]) if s in slices_of else bytes(1), np.uint8) for s in range(shards)]
+        self.sizes = 8 * np.array([len(x) for x in parts], np.int64)
+        self.starts, self.bits = np.cumsum(self.sizes) - self.sizes, np.concatenate(parts)
+        alone = model.alone(np.zeros(1, np.int64))
+        self.alone, self.at_start = float(np.log(alone)[0]), float(np.log(model.at_start(np.zeros(1, np.int64), alone))[0])
+
+    def has(self, words: np.ndarray) -> np.ndarray:
+        out = self.numbered[np.where(words < _RARE, words, 0)]
+        at = np.flatnonzero(words >= _RARE)
+        rare = words[at]
+        shard = _shard(rare, np.zeros(len(rare), np.int64), len(self.sizes))
+        bit = self.starts[shard] + (rare - _RARE) % self.sizes[shard]
+        out[at] = self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+        return out
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key among the sorted ones, and whether it is there."""
     if not len(keys):
@@ -516,9 +558,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _ROWS = "kind int, shard long, chunk long, data binary"
 #: Kinds of rows: rare words with continuation counts, pairs of dealt out words with continuation
-#: counts, triples of trusted texts and of others, documents of a chunk; figures and numbered words
-#: for the driver.
-_WORDS, _PAIRS, _TRIPLES, _ASKED, _DOCS, _FIGURE, _NUMBERS = range(7)
+#: counts, triples of trusted texts and of others, documents of a chunk; figures, numbered words and
+#: bitmaps of rare words for the driver.
+_WORDS, _PAIRS, _TRIPLES, _ASKED, _DOCS, _FIGURE, _NUMBERS, _BITS = range(8)
 
 
 def _rows(*rows: tuple[int, int, bytes]) -> pa.RecordBatch:
@@ -560,12 +602,13 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
             yield int(shard[a]), rows[a:b]
 
 
-def _summed(shared):  # noqa: ANN001
-    """What other shards and the driver have to know of each shard's triples."""
+def _summed(shared, bits: int):  # noqa: ANN001
+    """What other shards and the driver have to know of each shard's triples; bits: for a shard's rare words at most."""
 
-    def told(head: Head, grams: Grams) -> Iterator[pa.RecordBatch]:
+    def told(head: Head, shard: int, grams: Grams) -> Iterator[pa.RecordBatch]:
         out = [(_FIGURE, -1, _pack(_figures(grams, head)))]
         low = grams.words < _RARE
+        out.append((_BITS, shard, _bits(grams.words[~low], bits)))
         out.append((_NUMBERS, -1, _pack(grams.words[low], grams.continued[low])))
         # a rare word to all shards of the words before it
         rare = (grams.second >= _RARE) & (grams.first != START)
@@ -583,12 +626,12 @@ def _summed(shared):  # noqa: ANN001
         for shard, rows in _by_shard(batches):
             if shard != last:
                 if last is not None:
-                    yield from told(head, Grams(*counts.sum()))
+                    yield from told(head, last, Grams(*counts.sum()))
                 last, counts = shard, Counts(3)
             for _, _, data in rows:
                 counts.add(*head.unpack_counts(shard, data))
         if last is not None:
-            yield from told(head, Grams(*counts.sum()))
+            yield from told(head, last, Grams(*counts.sum()))
 
     return run
 
@@ -626,11 +669,19 @@ def _batch(schema: str, types: list[pa.DataType], rows: list[tuple]) -> pa.Recor
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
 
-def _asked(shared):  # noqa: ANN001
-    """Messages of each chunk's triples to their shards, and the chunk's documents."""
+_UNIT = 1 << 17  # sums of log probabilities are sent in units of one over this
+
+
+def _sent_sums(some: np.ndarray, sums: np.ndarray) -> bytes:
+    """Sums of log probabilities of some documents, by their numbers in the chunk."""
+    return _pack(np.diff(some, prepend=0), np.rint(sums * -_UNIT).astype(np.int64))
+
+
+def _asked(shared, known_of):  # noqa: ANN001
+    """Messages of each chunk's triples to their shards, and the chunk's documents with the sums of their unknown words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        head, known = shared.value, known_of.value
         number = 0
         for batch in gathered(batches, "text", CHUNK):
             for part in slices(batch, "text", CHUNK):
@@ -641,10 +692,17 @@ def _asked(shared):  # noqa: ANN001
                 words, before, after, first = tokens(part.column("text"), head)
                 sizes = np.diff(first)
                 doc = np.repeat(np.arange(part.num_rows), sizes)
-                out = [(_DOCS, -1, chunk, None, part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), sizes.tolist())]
+                shard = head.shard_of(words, before)
                 trusted = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
-                for kind, own in ((_TRIPLES, trusted), (_ASKED, ~trusted)):
-                    for s, c in _split(*(x[own] for x in (head.shard_of(words, before), words, before, after, doc))):
+                unknown = ~trusted & ~known.has(words)
+                at = np.flatnonzero(unknown)
+                some, of = np.unique(doc[at], return_inverse=True)
+                sums = np.bincount(of, np.where(before[at] == START, known.at_start, known.alone), len(some))
+                out = [(_DOCS, -1, chunk, _sent_sums(some, sums), part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), sizes.tolist())]
+                after[at[before[at] != START] - 1] = UNKNOWN
+                before[at[after[at] != END] + 1] = UNKNOWN
+                for kind, own in ((_TRIPLES, trusted), (_ASKED, ~trusted & ~unknown)):
+                    for s, c in _split(*(x[own] for x in (shard, words, before, after, doc))):
                         out.append((kind, s, chunk, head.pack_texts(s, *c), None, None, None))
                 yield _batch(_MESSAGES, _MESSAGE_TYPES, out)
 
@@ -653,7 +711,6 @@ def _asked(shared):  # noqa: ANN001
 
 _ANSWERS = "chunk long, shard long, ids array<long>, langs array<string>, sizes array<long>, data binary"
 _ANSWER_TYPES = [pa.int64(), pa.int64(), *_MESSAGE_TYPES[4:], pa.binary()]
-_UNIT = 1 << 17  # sums of log probabilities are sent in units of one over this
 
 
 def _answered(shared, model_of):  # noqa: ANN001
@@ -670,13 +727,13 @@ def _answered(shared, model_of):  # noqa: ANN001
             *triples, n = head.unpack_texts(last, data)
             some = np.flatnonzero(n)
             sums = np.add.reduceat(table.log_p(*triples), np.cumsum(n[some]) - n[some])
-            return chunk, last, None, None, None, _pack(np.diff(some, prepend=0), np.rint(sums * -_UNIT).astype(np.int64))
+            return chunk, last, None, None, None, _sent_sums(some, sums)
 
         for batch in batches:
             out = []
             for kind, shard, chunk, data, *documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _DOCS:
-                    out.append((chunk, shard, *documents, None))
+                    out.append((chunk, shard, *documents, data))
                     continue
                 if shard != last:
                     if held:
@@ -719,9 +776,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held is not None:
                     yield close()
                 held = ids, langs, sizes, np.zeros(len(ids))
-            else:
-                steps, parts = _unpack(data)
-                held[3][np.cumsum(steps)] -= parts / _UNIT
+            steps, parts = _unpack(data)
+            held[3][np.cumsum(steps)] -= parts / _UNIT
     if held is not None:
         yield close()
 
@@ -745,7 +801,7 @@ def perplexities(docs: DataFrame, shards: int | None = None, texts: DataFrame |
     head = Head.of(*(often.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "n")), total, shards)
     shared = spark.sparkContext.broadcast(head)
     counted = docs.where("trusted").select("text").mapInArrow(_counted(shared), _ROWS)
-    rows = cut(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_summed(shared), _ROWS))
+    rows = cut(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_summed(shared, KNOWN // shards), _ROWS))
     told = rows.where(F.col("kind") == _WORDS)
     figures = [r[0] for r in rows.where(F.col("kind") == _FIGURE).select("data").collect()]
     if not figures:
@@ -759,8 +815,11 @@ def perplexities(docs: DataFrame, shards: int | None = None, texts: DataFrame |
     for r in rows.where(F.col("kind") == _NUMBERS).select("data").collect():
         numbers, n = _unpack(r[0])
         continued[numbers] += n
-    model = spark.sparkContext.broadcast(Model(sum(_unpack(x)[0] for x in figures), continued))
-    asked = docs.select("doc_id", "lang", "text", "trusted", F.spark_partition_id().cast("long").alias("task")).mapInArrow(_asked(shared), _MESSAGES)
+    model = Model(sum(_unpack(x)[0] for x in figures), continued)
+    bits = {r[0]: r[1] for r in rows.where(F.col("kind") == _BITS).select("shard", "data").collect()}
+    known = spark.sparkContext.broadcast(Known(model, continued, bits, shards))
+    model = spark.sparkContext.broadcast(model)
+    asked = docs.select("doc_id", "lang", "text", "trusted", F.spark_partition_id().cast("long").alias("task")).mapInArrow(_asked(shared, known), _MESSAGES)
     asked = asked.unionByName(told, allowMissingColumns=True)
     # rows of documents only pass through here, so any partition will do
     dealt = asked.withColumn("dealt", F.when(F.col("kind") == _DOCS, F.xxhash64("chunk")).otherwise(F.col("shard")))

@@ -562,6 +562,32 @@ def test_quality_deals_out_frequent_words(spark):
         assert abs(found[i] / _perplexity(trusted, t) - 1) < 1e-5
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_quality_sends_unknown_words_as_one(spark, monkeypatch, bits):
+    """Words of no trusted text, wherever they are and however many, by a bitmap with room or without; they are hardly sent."""
+    monkeypatch.setattr(quality, "KNOWN", bits, raising=False)
+    rng = np.random.default_rng(11)
+    words_of = [f"w{i}" for i in range(30)]
+    trusted = ["seldom used", "the w1 of w2", *(" ".join([*rng.choice(words_of, 20), f"rare{i}"]) for i in range(9))]
+    texts = [*trusted, "new", "new new", "new the new", "the new", "new w1 w2 new w3", "w1 rare3 new of rare4", "seldom new used new"]
+    texts += [" ".join(f"x{i}-{k} y{k % 50}" for k in range(1500)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("trusted", docs["doc_id"] < len(trusted))
+    context = spark.sparkContext
+
+    def written():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    found = {r[0]: r[2] for r in quality.perplexities(docs, shards=7).collect()}
+    size = sum(map(len, texts))
+    assert bits == 8 or written() - before < size / 3
+    for i, t in enumerate(texts):
+        assert abs(found[i] / _perplexity(trusted, t) - 1) < 1e-5
+
+
 def test_quality_thresholds(spark):
     """Quantile by language of the held-out trusted, times the margin; ids sent and joined give the same."""
     rng = np.random.default_rng(7)
