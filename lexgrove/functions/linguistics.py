@@ -101,8 +101,8 @@ def english_voice(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> D
     facts = line.groupBy("sent_id", "node_id", "pt").agg(breaks.alias("broken"), F.max(F.when(F.col("depth") == 2, F.col("above"))).alias("grand"), F.max("depth").alias("height"))
     be = edges.join(named.where(F.col("lemma_").isin(*BE)).select("sent_id", F.col("node_id").alias("child_id")), ["sent_id", "child_id"])
     be = be.select("sent_id", F.col("parent_id").alias("ancestor_id")).distinct()
-    near = line.join(be, ["sent_id", "ancestor_id"]).groupBy("sent_id", "node_id").agg(F.min("depth").alias("be_depth"))
-    joined = facts.join(near, ["sent_id", "node_id"], "left")
+    near = line.join(be.hint("merge"), ["sent_id", "ancestor_id"]).groupBy("sent_id", "node_id").agg(F.min("depth").alias("be_depth"))
+    joined = facts.join(near.hint("merge"), ["sent_id", "node_id"], "left")
     commanded = F.col("be_depth").isNotNull() & (F.col("broken").isNull() | (F.col("be_depth") < F.col("broken")))
     voice = (
         F.when(F.col("height") < 2, None)
@@ -210,7 +210,7 @@ def informative_content(nodes: DataFrame, edges: DataFrame, head_of: DataFrame,
     own = with_categories(nodes, language).where(F.col("simple_pt").isin(*CONTENT[language])).select("sent_id", "node_id", tags[F.col("simple_pt")].alias("tag"))
     own = own.join(heads_.select("sent_id", "node_id", F.col("head_lemma").alias("own_lemma")), ["sent_id", "node_id"]).withColumnRenamed("node_id", "parent_id")
     children = edges.select("sent_id", "parent_id", "child_id", "child_ord").join(heads_.withColumnRenamed("node_id", "child_id"), ["sent_id", "child_id"])
-    others = children.join(own, ["sent_id", "parent_id"]).where(~F.col("head_lemma").eqNullSafe(F.col("own_lemma")))
+    others = children.join(own.hint("merge"), ["sent_id", "parent_id"]).where(~F.col("head_lemma").eqNullSafe(F.col("own_lemma")))
     place = F.struct((~F.coalesce(F.expr("head_pos rlike tag"), F.lit(False))).alias("other"), "child_ord", "child_id")
     return others.groupBy("sent_id", F.col("parent_id").alias("node_id")).agg(F.min_by("head_id", place).alias("content_id"))
 

@@ -29,7 +29,7 @@ def closure(edges: DataFrame, height: int | None = None) -> DataFrame:
         # paths of up to reach steps, extended by those of exactly reach steps
         tail = known.select("sent_id", F.col("node_id").alias("_mid"), F.col("ancestor_id").alias("_top"), F.col("depth").alias("_more"))
         far = known.where(F.col("depth") == reach)
-        longer = far.join(tail, (far["sent_id"] == tail["sent_id"]) & (far["ancestor_id"] == tail["_mid"])).select(far["sent_id"], "node_id", F.col("_top").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        longer = far.join(tail.hint("merge"), (far["sent_id"] == tail["sent_id"]) & (far["ancestor_id"] == tail["_mid"])).select(far["sent_id"], "node_id", F.col("_top").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
         if height is None:
             longer = cut(longer)
             if longer.isEmpty():
@@ -65,7 +65,7 @@ def lowest_common(pairs: DataFrame, up: DataFrame) -> DataFrame:
     """pairs (sent_id, a, b) with lca, up_steps and down_steps; up is the closure with each node itself."""
     one = up.select("sent_id", F.col("node_id").alias("a"), "ancestor_id", F.col("depth").alias("up_steps"))
     two = up.select("sent_id", F.col("node_id").alias("b"), "ancestor_id", F.col("depth").alias("down_steps"))
-    met = pairs.join(one, ["sent_id", "a"]).join(two, ["sent_id", "b", "ancestor_id"])
+    met = pairs.join(one.hint("merge"), ["sent_id", "a"]).join(two.hint("merge"), ["sent_id", "b", "ancestor_id"])
     best = F.min_by(F.struct(F.col("ancestor_id").alias("lca"), "up_steps", "down_steps"), F.col("up_steps") + F.col("down_steps"))
     return met.groupBy("sent_id", "a", "b").agg(best.alias("x")).select("sent_id", "a", "b", "x.*")
 
@@ -96,8 +96,8 @@ def chains(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame, wanted: Dat
         .join(cat.withColumnsRenamed({"_n": "child_id", "_cat": "child_cat"}), ["sent_id", "child_id"])
         .select("sent_id", "child_id", "parent_id", "label", "parent_cat", "child_cat")
     )
-    steps = way.join(labelled, ["sent_id", "child_id"])
-    on = to.join(steps, ["sent_id", "node_id"]).where("at < depth")
+    steps = way.join(labelled.hint("merge"), ["sent_id", "child_id"])
+    on = to.join(steps.hint("merge"), ["sent_id", "node_id"]).where("at < depth")
     ordered = F.array_sort(F.collect_list(F.struct("at", "label", "parent_cat", "child_cat", "parent_id", "child_id")))
     found = on.groupBy("sent_id", "node_id", "ancestor_id").agg(ordered.alias("s"))
     up = F.transform("s", lambda x: F.struct(F.lit("U").alias("dir"), x["label"].alias("gf"), x["parent_cat"].alias("pt"), x["parent_id"].alias("node_id")))

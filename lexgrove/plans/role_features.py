@@ -24,11 +24,15 @@ SECOND_PHASE = ("nearest_pt_path", "neareststring_pt", "nearestpath_pt")
 
 
 def _joined(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
-    return rows.join(other, list(keys), "left")
+    return rows.join(other.hint("merge"), list(keys), "left")
 
 
 def build(t: dict[str, DataFrame], language: str = "en", height: int | None = None) -> DataFrame:
-    """The feature table of sentence tables (see sources.stxml), both phases; real nulls stand for no value."""
+    """The feature table of sentence tables (see sources.stxml), both phases; real nulls stand for no value.
+
+    All joins are merges: these tables grow with the sentences, and none may go through the driver.
+    """
+    t = {name: rows.hint("merge") for name, rows in t.items()}
     nodes = lx.with_categories(t["syn_node"].where("kind <> 'part'"), language)
     nodes = cut(nodes.withColumn("lemma_", lx.lemma_or_word(F.col("lemma"), F.col("word"))))
     edges = cut(t["syn_edge"].where("is_tree"))

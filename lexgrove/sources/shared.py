@@ -21,8 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute the frame once, into a table; plans that use it many times stay small."""
+    """Compute the frame once, into a table; plans that use it many times stay small.
+
+    The planner takes a table for as large as its files, which are packed many times smaller than its
+    rows, and would send it through the driver; so joins with it are merges.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
