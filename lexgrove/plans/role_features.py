@@ -30,7 +30,8 @@ def _joined(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
 def build(t: dict[str, DataFrame], language: str = "en", height: int | None = None) -> DataFrame:
     """The feature table of sentence tables (see sources.stxml), both phases; real nulls stand for no value.
 
-    All joins are merges: these tables grow with the sentences, and none may go through the driver.
+    All joins are merges: these tables grow with the sentences, and none may go through the driver,
+    which also keeps each plan again for every step of it, so that no plan has more than some dozen joins.
     """
     t = {name: rows.hint("merge") for name, rows in t.items()}
     nodes = lx.with_categories(t["syn_node"].where("kind <> 'part'"), language)
@@ -46,13 +47,13 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int | None = No
     targets = lx.targets_of_frames(t["frame"], t["fe_node"].join(t["fe"].where("is_target").select("sent_id", "fe_id", "frame_id"), ["sent_id", "fe_id"]), below, nodes, language)
     frames = targets.select("sent_id", "frame_id", F.col("name").alias("frame"), F.col("main_id").alias("a"), F.col("lemma").alias("target"), F.col("pos").alias("target_pos"))
     fine = nodes.select("sent_id", F.col("node_id").alias("a"), F.col("pt").alias("finegrained_target_pos"))
-    voice = lx.english_voice(nodes, edges, up).select("sent_id", F.col("node_id").alias("a"), "voice")
+    voice = cut(lx.english_voice(nodes, edges, up).select("sent_id", F.col("node_id").alias("a"), "voice"))
     above = up.join(nodes.where("kind = 'nt' and category in ('verb')").select("sent_id", F.col("node_id").alias("ancestor_id")), ["sent_id", "ancestor_id"], "left_semi")
     verb_heads = above.join(head_of.select("sent_id", F.col("node_id").alias("ancestor_id"), F.col("head_id").alias("gv")), ["sent_id", "ancestor_id"])
     verb_heads = verb_heads.join(nodes.where("category = 'verb'").select("sent_id", F.col("node_id").alias("gv"), F.col("lemma_").alias("gov_verb")), ["sent_id", "gv"])
     own = nodes.select("sent_id", "node_id", F.col("lemma_").alias("own_lemma"))
     governing = verb_heads.join(own, ["sent_id", "node_id"]).where("gov_verb <> own_lemma").groupBy("sent_id", F.col("node_id").alias("a")).agg(F.min_by(F.struct("gv", "gov_verb"), "depth").alias("g")).select("sent_id", "a", "g.*")
-    frames = cut(reduce(lambda rows, other: _joined(rows, other, "sent_id", "a"), (fine, voice, governing), frames))
+    frames = cut(reduce(lambda rows, other: _joined(rows, other, "sent_id", "a"), (fine, voice, cut(governing)), frames))
 
     rows = frames.join(nodes.select("sent_id", F.col("node_id").alias("b"), F.col("simple_pt").alias("pt"), "kind", "category"), "sent_id")
     found = trees.paths(rows.select("sent_id", "a", "b").distinct(), labelled, edges, up).select("sent_id", "a", "b", "path", "lca", "up_steps", "down_steps")
@@ -86,7 +87,7 @@ def build(t: dict[str, DataFrame], language: str = "en", height: int | None = No
     beside = trees.sibling_nodes(edges, bounds).withColumnRenamed("node_id", "b")
     for other in (place, heads, content, prep, beside):
         of_b = _joined(of_b, other, "sent_id", "b")
-    of_b = _joined(of_b, parent_pt, "sent_id", "parent")
+    of_b = _joined(cut(of_b), parent_pt, "sent_id", "parent")
     of_b = _joined(of_b, word("first_id", "firstword", "firstword_pos"), "sent_id", "first_id")
     of_b = _joined(of_b, word("last_id", "lastword", "lastword_pos"), "sent_id", "last_id")
     of_b = _joined(_joined(of_b, word("head_id", "const_head", "const_head_pos"), "sent_id", "head_id"), order, "sent_id", "head_id")
