@@ -29,4 +29,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # else the driver's heap grows by each plan, and shuffle files of finished plans stay
     return spark.read.schema(df.schema).parquet(path).hint("merge")
